@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from larkspur.llm.bpe import op8_bpe
+from larkspur.llm.packing import op3_best_fit_packing
 from larkspur.llm.session import ready
 from larkspur.llm.substring import op1_substring_dedup
 from larkspur.llm.suffix import op10_suffix_dedup
 
-_ALL = [op1_substring_dedup, op10_suffix_dedup]
+_ALL = [op1_substring_dedup, op3_best_fit_packing, op8_bpe, op10_suffix_dedup]
 
 
 def _prepared(f):

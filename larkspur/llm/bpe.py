@@ -13,119 +13,114 @@ so repeated rows get equal results and an empty table gives an empty one.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-from itertools import chain
+import base64
+import struct
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm import blocks as B
-from larkspur.llm.chunks import Kept, chunks
-
-KEPT = 300_000
-NONE = -1
-
-
-class RankQueue:
-    """Positions by rank; ``pop`` gives a position of the lowest rank, the leftmost first."""
-
-    def __init__(self, ranks: int) -> None:
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if not bucket:
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-            self.top |= 1 << (rank >> 12)
-        heapq.heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        a = (self.top & -self.top).bit_length() - 1
-        word = self.mid[a]
-        b = (a << 6) + (word & -word).bit_length() - 1
-        word = self.low[b]
-        rank = (b << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            self.low[b] &= ~(1 << (rank & 63))
-            if not self.low[b]:
-                self.mid[a] &= ~(1 << (b & 63))
-                if not self.mid[a]:
-                    self.top &= ~(1 << a)
-        return rank, position
+from larkspur.llm import kernels as K
+from larkspur.llm.chunks import ChunkEncoder
+
+IDS = T.ArrayType(T.IntegerType())
+Step = Callable[[pa.RecordBatch], pa.RecordBatch]
+RANK_BITS = 20
+
+
+def rank_table(lines: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
 
 
 class Encoder:
     """Encodes by ``lines`` of base64 token and rank, splitting text by ``pattern``."""
 
     def __init__(self, lines: bytes, pattern: str) -> None:
-        import base64
-
-        self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
-        self.token = {v: k for k, v in self.ranks.items()}
+        self.ranks = rank_table(lines)
+        size = max(self.ranks.values()) + 1
+        if size > 1 << RANK_BITS:
+            raise ValueError("too many ranks")
         self.byte = [self.ranks[bytes([i])] for i in range(256)]
-        self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(max(self.token) + 1)
-        self.pairs: dict[tuple[int, int], int] = {}
+        #: Two neighbours, as left << RANK_BITS | right, to the rank of their pair.
+        self.pairs: dict[int, int] = {}
         for whole, rank in self.ranks.items():
             for i in range(1, len(whole)):
                 left, right = self.ranks.get(whole[:i]), self.ranks.get(whole[i:])
                 if left is not None and right is not None:
-                    self.pairs[left, right] = rank
-        self.kept = Kept(self._pretoken, KEPT)
-        self.kept_chunks = Kept(self._chunk, KEPT)
-
-    def _pretoken(self, text: str) -> tuple[int, ...]:
+                    self.pairs[left << RANK_BITS | right] = rank
+        #: The queue: positions by rank, and which ranks have any, as 64-bit words on two levels under a top word.
+        self.buckets: dict[int, list[int]] = {}
+        self.low = [0] * ((size >> 6) + 1)
+        self.mid = [0] * ((size >> 12) + 1)
+        self.encode_bytes = ChunkEncoder(pattern, self._pretoken)
+
+    def _pretoken(self, text: str) -> bytes:
         data = text.encode()
         whole = self.ranks.get(data)
-        return (whole,) if whole is not None else tuple(self.merge(data))
-
-    def _chunk(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.kept[x] for x in self.pattern.findall(text)))
+        return struct.pack("<I", whole) if whole is not None else struct.pack(f"<{len(ids)}I", *ids) if (ids := self.merge(data)) else b""
 
     def merge(self, data: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        pairs, queue = self.pairs, self.queue
-        ids = [self.byte[x] for x in data]
+        """The ids of one pre-token. The queue is empty before and after."""
+        pairs, buckets, low, mid, top = self.pairs.get, self.buckets, self.low, self.mid, 0
+        byte = self.byte
+        ids = [byte[x] for x in data]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = [NONE] * n  # of the pair that starts here
-        for i in range(n - 1):
-            r = pairs.get((ids[i], ids[i + 1]))
-            if r is not None:
-                rank[i] = r
-                queue.push(r, i)
-        while queue.top:
-            r, i = queue.pop()
+        rank = [pairs(a << RANK_BITS | b) for a, b in zip(ids, ids[1:], strict=False)]  # of the pair that starts here
+        rank.append(None)
+        new = [(r, i) for i, r in enumerate(rank) if r is not None]
+        while True:
+            for r, i in new:
+                if r in buckets:
+                    heappush(buckets[r], i)
+                else:
+                    buckets[r] = [i]
+                    a = r >> 6
+                    if not low[a]:
+                        b = r >> 12
+                        if not mid[b]:
+                            top |= 1 << b
+                        mid[b] |= 1 << (a & 63)
+                    low[a] |= 1 << (r & 63)
+            if not top:
+                break
+            b = (top & -top).bit_length() - 1
+            word = mid[b]
+            a = b << 6 | (word & -word).bit_length() - 1
+            word = low[a]
+            r = a << 6 | (word & -word).bit_length() - 1
+            bucket = buckets[r]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[r]
+                low[a] = word = word & (word - 1)
+                if not word:
+                    mid[b] &= mid[b] - 1
+                    if not mid[b]:
+                        top &= top - 1
+            new = []
             if rank[i] != r:
                 continue  # stale
             j = after[i]
-            k = after[j]
-            ids[i], rank[j] = r, NONE
-            after[i] = k
-            rank[i] = NONE
+            after[i] = k = after[j]
+            ids[i] = r
+            rank[j] = rank[i] = None
             if k < n:
                 before[k] = i
-                r = pairs.get((ids[i], ids[k]))
-                if r is not None:
-                    rank[i] = r
-                    queue.push(r, i)
+                rank[i] = s = pairs(r << RANK_BITS | ids[k])
+                if s is not None:
+                    new.append((s, i))
             h = before[i]
             if h >= 0:
-                r = pairs.get((ids[h], ids[i]))
-                rank[h] = NONE if r is None else r
-                if r is not None:
-                    queue.push(r, h)
+                rank[h] = s = pairs(ids[h] << RANK_BITS | r)
+                if s is not None:
+                    new.append((s, h))
         out, i = [], 0
         while i < n:
             out.append(ids[i])
@@ -133,25 +128,38 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.kept_chunks.__getitem__, chunks(text))))
+        return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
 
+class Decoder:
+    def __init__(self, lines: bytes) -> None:
+        ranks = rank_table(lines)
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.data = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.length = np.array([len(x) for x in tokens], dtype=np.int64)
+        self.start = np.cumsum(self.length) - self.length
 
-_encoders: dict[tuple[int, str], Encoder] = {}
+    def decode(self, ids: np.ndarray, most: int = 1 << 18) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids, and where each id's begin; the working memory is bounded."""
+        parts = [self.data[K.ranges(self.start[x], self.length[x])].tobytes() for x in (ids[i : i + most] for i in range(0, len(ids), most))]
+        return b"".join(parts), np.concatenate([[0], np.cumsum(self.length[ids])])
 
 
-def encoder(lines: bytes, pattern: str) -> Encoder:
+_built: dict[tuple, object] = {}
+
+
+def built(kind: type, lines: bytes, *args: str):
     """One for each Python worker and vocabulary."""
-    key = hash(lines), pattern
-    if key not in _encoders:
-        _encoders[key] = Encoder(lines, pattern)
-    return _encoders[key]
+    key = (kind, hash(lines), *args)
+    if key not in _built:
+        _built[key] = kind(lines, *args)
+    return _built[key]
 
 
-def _replacing(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
+def _replacing(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
 def _with(b: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -159,42 +167,68 @@ def _with(b: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), column], names=[*(b.schema.names[i] for i in keep), name])
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the ids of each text; the rank file at ``path`` is read here and sent to the workers."""
+def _sent(spark: SparkSession, path: str):
+    """The rank file, read here and sent to the workers; its size is that of the vocabulary."""
     with open(path, "rb") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+        return spark.sparkContext.broadcast(f.read())
+
+
+def _encoding(sent, pattern: str, text: str, ids: str) -> Step:
+    def step(b: pa.RecordBatch) -> pa.RecordBatch:
+        encode = built(Encoder, sent.value, pattern).encode_bytes
+        found = [encode(x or "") for x in b.column(b.schema.get_field_index(text)).to_pylist()]
+        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+        flat = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
+        return _with(b, ids, pa.ListArray.from_arrays(pa.array(at), flat))
+
+    return step
+
+
+def _decoding(sent, ids: str, decoded: str) -> Step:
+    def step(b: pa.RecordBatch) -> pa.RecordBatch:
+        lists = b.column(b.schema.get_field_index(ids))
+        count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        data, begin = built(Decoder, sent.value).decode(lists.flatten().to_numpy())
+        at = begin[np.concatenate([[0], np.cumsum(count)])].astype(np.int32)
+        return _with(b, decoded, pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.array(at).buffers()[1], pa.py_buffer(data)]))
+
+    return step
+
+
+def _mapped(df: DataFrame, schema: T.StructType, text: str | None, *steps: Step) -> DataFrame:
+    """All steps in one pass through Python, batch by batch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(sent.value, pattern)
-        for b in B.rebatched(batches, text):
-            found = [e.encode(x or "") for x in b.column(b.schema.get_field_index(text)).to_pylist()]
-            at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(at[-1]))
-            yield _with(b, ids, pa.ListArray.from_arrays(pa.array(at), pa.array(flat)))
+        for b in B.rebatched(batches, text) if text else (x.slice(i, 200) for x in batches for i in range(0, x.num_rows, 200)):
+            for step in steps:
+                b = step(b)
+            yield b.select(schema.fieldNames())
 
-    return docs.mapInArrow(work, _replacing(docs, ids, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(work, schema)
+
+
+def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """docs with the ids of each text, by the rank file at ``path``."""
+    return _mapped(docs, _replacing(docs.schema, ids, IDS), text, _encoding(_sent(docs.sparkSession, path), pattern, text, ids))
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the bytes that the ids stand for; null ids give no bytes."""
-    with open(path, "rb") as f:
-        sent = df.sparkSession.sparkContext.broadcast(f.read())
+    return _mapped(df, _replacing(df.schema, decoded, T.BinaryType()), None, _decoding(_sent(df.sparkSession, path), ids, decoded))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(sent.value, "")
-        for b in batches:
-            found = [e.decode(x or []) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
-            yield _with(b, decoded, pa.array(found, pa.binary()))
 
-    return df.mapInArrow(work, _replacing(df, decoded, T.BinaryType()))
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``bpe_encode`` and ``bpe_decode`` of its ids in one pass; the text itself is left out."""
+    sent = _sent(docs.sparkSession, path)
+    schema = _replacing(_replacing(docs.drop(text).schema, ids, IDS), decoded, T.BinaryType())
+    return _mapped(docs, schema, text, _encoding(sent, pattern, text, ids), _decoding(sent, ids, decoded))
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    path = P.path("byte_bpe_50k.tiktoken")
-    out = bpe_decode(bpe_encode(docs, path, P.PATTERN).drop("text"), path)
+    out = bpe_round_trip(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

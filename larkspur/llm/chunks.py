@@ -30,16 +30,39 @@ def chunks(text: str) -> list[str]:
 
 
 class Kept(dict):
-    """What a function gives for short strings, up to a number of them; then it starts anew."""
+    """What a function gives for short strings, in two generations of so many strings.
 
-    def __init__(self, f: Callable[[str], object], most: int, longest: int = 48) -> None:
+    A full generation becomes the old one; what is found there again moves to the new one.
+    """
+
+    def __init__(self, f: Callable[[str], bytes], most: int, longest: int = 48) -> None:
         super().__init__()
         self.f, self.most, self.longest = f, most, longest
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, key: str) -> object:
-        value = self.f(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = value
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.f(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
+
+
+class ChunkEncoder:
+    """Text to ids as little-endian 32-bit integers, by a function for one pre-token."""
+
+    def __init__(self, pattern: str, pretoken: Callable[[str], bytes], most: int = 130_000) -> None:
+        self.find = regex.compile(pattern).findall
+        self.pretokens = Kept(pretoken, 2 * most)
+        self.chunks = Kept(self._chunk, most)
+
+    def _chunk(self, text: str) -> bytes:
+        return b"".join(map(self.pretokens.__getitem__, self.find(text)))
+
+    def __call__(self, text: str) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, chunks(text)))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm import blocks as B
-from larkspur.llm.chunks import Kept, chunks
+from larkspur.llm.chunks import ChunkEncoder
 
 CAPACITY = 2048
 #: A bin with less room than this is nearly full.
@@ -32,7 +32,6 @@ NEARLY = 16
 #: Items that a leaf packs at once, and bins that a node of the tree takes.
 LEAF_ITEMS = 100_000
 NODE_BINS = 16_384
-KEPT = 400_000
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,33 +136,36 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     return every.select("bin", "items").mapInArrow(placed, T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
-_tokenizers: dict[int, Kept] = {}
+_tokenizers: dict[int, ChunkEncoder] = {}
 
 
-def _ids(source: str) -> Kept:
-    """Chunk to its ids, as little-endian 32-bit integers; the tokenizer is one for each worker."""
-    key = hash(source)
+def _ids(source: str, pattern: str) -> ChunkEncoder:
+    """Text to its ids by the tokenizer, one for each worker; the tokenizer gets each pre-token once."""
+    key = hash((source, pattern))
     if key not in _tokenizers:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(source)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tokenizers[key] = Kept(lambda x: np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes(), KEPT)
+        _tokenizers[key] = ChunkEncoder(pattern, lambda x: np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes())
     return _tokenizers[key]
 
 
-def token_pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, piece, start, length and ids (little-endian 32-bit) of each document's pieces."""
+def token_pieces(docs: DataFrame, path: str, pattern: str, end: int = 0, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, piece, start, length and ids (little-endian 32-bit) of each document's pieces.
+
+    ``pattern`` is the pre-tokenizer's own, by which texts are cut before the tokenizer gets them.
+    """
     with open(path, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     last = np.array([end], dtype="<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _ids(sent.value)
+        encode = _ids(sent.value, pattern)
         for b in B.rebatched(batches, "text"):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = b"".join(map(kept.__getitem__, chunks(x or ""))) + last
+                ids = encode(x or "") + last
                 n = len(ids) // 4
                 at = (n % capacity or capacity) if n > capacity else n
                 for p, (s, e) in enumerate([(0, at), *((s, s + capacity) for s in range(at, n, capacity))]):
@@ -179,7 +181,7 @@ def token_pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPAC
 def packed_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers as P
 
-    pieces = token_pieces(docs, P.path("byte_bpe_50k.json"))
+    pieces = token_pieces(docs, P.path("byte_bpe_50k.json"), P.PATTERN)
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 

@@ -122,13 +122,6 @@ def minimizers(t: pa.Table, match: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return f, K.mix(f ^ np.uint64(K.WORD_BASE_2))
 
 
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """All positions of the given ranges, one after the other."""
-    total = int(lengths.sum())
-    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-    return np.arange(total, dtype=np.int64) + shift
-
-
 def segment_table(rows: list[tuple]) -> pa.Table:
     kinds = [pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 5]
     names = ["bucket", "block", "gone", "ids", "ords", "starts", "lens", "data"]
@@ -160,7 +153,7 @@ def candidates(t: pa.Table, back: pa.Table, match: int, gram: int, buckets: int)
     mine = np.flatnonzero(own)
     for b, p in K.split_by((K.mix(f[mine] ^ np.uint64(K.WORD_BASE)) % np.uint64(buckets)).astype(np.int64)):
         p = mine[p]
-        data = buf[ranges(s[p], n[p] + match - 1)].tobytes()
+        data = buf[K.ranges(s[p], n[p] + match - 1)].tobytes()
         rows.append((b, block, False, ids[doc[p]].tobytes(), u32(doc[p]), u32(s[p] - offsets[doc[p]]), u32(n[p]), data))
     return segment_table(rows)
 
@@ -184,7 +177,7 @@ def resolved(t: pa.Table, match: int) -> pa.Table:
         own = np.zeros(len(at), dtype=bool)
         own[np.unique(content, return_index=True)[1]] = True
         mine = np.flatnonzero(own)
-        where = ranges(at[mine], lens[mine])
+        where = K.ranges(at[mine], lens[mine])
         h = K.range_hashes(sums, where, where + match, K.BYTE_BASE)
         ranked = np.sort(h)
         twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])

@@ -1,24 +1,64 @@
-"""The filtering pipeline over ``documents``: stages in order, each written as Parquet and read again."""
+"""The filtering pipeline over ``documents``: stages in order, each written as Parquet and read again.
+
+A stage takes all that its predecessor kept, and all but the last return the columns of
+documents: toxic documents go, then those of low quality; of each group of near copies the one
+with the smallest id stays; words in repeated passages are taken out; the rest is packed into
+sequences of at most 2048 tokens.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import substring
+from larkspur.llm import jaccard, packing, rules, substring, toxicity
 from larkspur.llm.session import ready
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents with a toxicity score of 0.5 or more go."""
+    model = toxicity.trained(ready(spark), sf_dir)
+    return toxicity.score_toxicity(docs, model).where("score < 0.5").select(docs.columns)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents with a quality score below 0.7 go."""
+    model = rules.trained(ready(spark), sf_dir)
+    return rules.score_quality(docs, model).where("score >= 0.7").select(docs.columns)
+
+
+def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: one document of each group of near copies stays."""
+    ready(spark)
+    return jaccard.deduplicated(docs)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: words in passages of 35 words or more that occur again are taken out."""
+    ready(spark)
     return substring.deduplicated(docs)
 
 
-STAGES = [("substring dedup", repeated_passages)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: the pieces of all documents and their places in sequences."""
+    ready(spark)
+    return packing.packed_digests(docs)
+
+
+STAGES = [("toxicity", clean), ("quality classifier", good), ("n-gram Jaccard join", apart), ("substring dedup", unrepeated), ("best-fit packing", packed)]
+#: Classifiers and packing have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Work tables lie under the session's checkpoint folder, or the warehouse where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    at = f"{base}/pipeline-{uuid.uuid4().hex}"
     docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{at}/{k}")
+            docs = spark.read.parquet(f"{at}/{k}")
     return docs

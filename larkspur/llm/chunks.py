@@ -56,7 +56,7 @@ class Kept(dict):
 class ChunkEncoder:
     """Text to ids as little-endian 32-bit integers, by a function for one pre-token."""
 
-    def __init__(self, pattern: str, pretoken: Callable[[str], bytes], most: int = 130_000) -> None:
+    def __init__(self, pattern: str, pretoken: Callable[[str], bytes], most: int = 300_000) -> None:
         self.find = regex.compile(pattern).findall
         self.pretokens = Kept(pretoken, 2 * most)
         self.chunks = Kept(self._chunk, most)

@@ -111,8 +111,8 @@ def pieces(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, separators: np.ndarray = SPACE, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word, and the offsets of each document's words.
+def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, separators: np.ndarray = SPACE, most: int = 1 << 20, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word (of its ``first`` bytes, unless 0), and the offsets of each document's words.
 
     Bytes are hashed in runs of about ``most``, cut between words, so that a very long
     document takes no more working memory than a short one besides 8 bytes a word.
@@ -125,7 +125,8 @@ def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, separators:
         at = starts[i]
         part = buf[at : ends[j - 1]]
         sums = prefix_sums((LOWER[part] if lower else part).astype(U64) + U64(1), BYTE_BASE)
-        out[i:j] = range_hashes(sums, starts[i:j] - at, ends[i:j] - at, BYTE_BASE)
+        stop = np.minimum(ends[i:j], starts[i:j] + first) if first else ends[i:j]
+        out[i:j] = range_hashes(sums, starts[i:j] - at, stop - at, BYTE_BASE)
         i = j
     return out, np.searchsorted(starts, offsets)
 

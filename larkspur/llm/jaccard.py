@@ -9,9 +9,9 @@ symmetric difference from below, and of T pieces T - D at least agree (pigeonhol
 sets share a piece that isn't empty, for T exceeds D plus the number of empty pieces; a set
 with more empty pieces than that also sends its empty ones, so nothing is lost. Pieces are keys
 that meet in buckets, packed. No pair is formed there: a set first gets a link to the least of
-those it meets, and these links are verified; then the sets of a group that are not connected
-yet are compared by bit sketches (XOR of one bit for each token), whose Hamming distance again
-bounds the symmetric difference, block by block for large groups, and the pairs that remain are
+those it meets; then the sets of a group that are not connected yet are compared, block by
+block for large groups. Either kind of pair must pass bit sketches (XOR of one bit for each
+token), whose Hamming distance again bounds the symmetric difference, and what passes is
 verified on the sets themselves. Components are those of verified links, by alternating steps
 to stars, checkpointed.
 
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +45,8 @@ BUCKET_BYTES = 24 << 20
 FLUSH_BYTES = 24 << 20
 #: Members of a group that one task compares with as many others.
 CHUNK = 2048
-NO_ID = np.iinfo(np.int64).max
+#: Up to so many ids (8 MB) of texts to verify are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 
 def shingle_sets(column, size: int) -> list[np.ndarray]:
@@ -226,6 +228,25 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The pairs (u, v) that sizes and sketches don't rule out."""
+    side = lambda x: classes.select(F.col("cls").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    near = pairs.join(side("u"), F.col("u") == F.col("cu")).join(side("v"), F.col("v") == F.col("cv"))
+    near = near.where(F.least("nu", "nv") * den >= num * F.greatest("nu", "nv")).select("u", "v", "nu", "nv", "su", "sv")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            far = []
+            for a, b in zip(x.column(4).to_pylist(), x.column(5).to_pylist(), strict=True):
+                a, b = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+                size = min(len(a), len(b))
+                far.append(int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum()))
+            both = x.column(2).to_numpy() + x.column(3).to_numpy()
+            yield x.select(["u", "v"]).filter(pa.array(np.array(far, dtype=np.int64) * (num + den) <= both * (den - num)))
+
+    return near.mapInArrow(work, "u long, v long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """The pairs (u, v) of classes whose sets are similar."""
     left = pairs.join(sets.select(F.col("cls").alias("cu"), F.col("tokens").alias("a")), F.col("u") == F.col("cu")).select("u", "v", "a")
@@ -252,51 +273,47 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id",
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in B.rebatched(batches, "text"):
             sets = shingle_sets(b.column(1), size)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], names=["id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["id", "n", "cls", "sketch"])
 
-    # Small rows: id, size and class of every document.
-    rows = B.checkpointed(only.mapInArrow(measured, "id long, n long, cls long"))
-    classes = rows.where("cls <> 0").groupBy("cls").agg(F.min("id").alias("first"), F.first("n").alias("n"))
+    # Small rows: id, size, class and sketch of every document.
+    rows = B.checkpointed(only.mapInArrow(measured, "id long, n long, cls long, sketch binary"))
+    classes = rows.where("cls <> 0").groupBy("cls").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     buckets = max(LEAST_BUCKETS, math.ceil(total * 0.6 / BUCKET_BYTES))
     keys = only.select("text").mapInArrow(lambda it: key_rows(it, size, buckets), "bucket int, classes binary, counts binary, low binary, high binary")
     members = B.checkpointed(keys.groupBy("bucket").applyInArrow(bucket_groups, "gid long, cls long").distinct())
-
-    needed = members.select("cls").distinct()
+    repeated_ids = rows.groupBy("id").agg(F.countDistinct("cls").alias("k")).where("k > 1").limit(1).count()
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in B.rebatched(batches, "text"):
             sets = shingle_sets(b.column(1), size)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([K.pack(s) for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["cls", "n", "tokens", "sketch"])
-
-    # One text of each class that met another: by the class's least id, then by the class itself, as ids may repeat.
-    chosen = classes.join(needed, "cls", "left_semi").select(F.col("first").alias("f"), "cls")
-    sources = only.join(chosen, F.col("id").eqNullSafe(F.col("f"))).select("cls", "text")
-
-    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in B.rebatched(batches, "text"):
-            own = [class_of(s) for s in shingle_sets(b.column(1), size)]
-            yield b.filter(pa.array([a == c for a, c in zip(own, b.column(0).to_pylist(), strict=True)], pa.bool_()))
-
-    repeated_ids = rows.groupBy("id").agg(F.countDistinct("cls").alias("k")).where("k > 1").limit(1).count()
-    if repeated_ids:
-        sources = sources.mapInArrow(matching, "cls long, text string")
-    found = sources.mapInArrow(tokens, "cls long, n long, tokens binary, sketch binary")
-    sets = B.checkpointed(found.groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")) if repeated_ids else found)
-    hashes = sets.select("cls", "tokens")
+            own = pa.array([class_of(s) for s in sets], pa.int64())
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array([K.pack(s) for s in sets], pa.binary())], names=["cls", "tokens"])
+            yield out.filter(pc.equal(own, b.column(0)))  # ids may repeat
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """By the sets of one document of each class in a pair."""
+        pairs = B.checkpointed(pairs)
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("e")).distinct()
+        chosen = B.checkpointed(classes.join(ends, F.col("cls") == F.col("e"), "left_semi").select(F.col("first").alias("f"), "cls"))
+        few = chosen.count() <= BROADCAST_IDS
+        sources = only.join(F.broadcast(chosen) if few else chosen, F.col("id").eqNullSafe(F.col("f"))).select("cls", "text")
+        sets = sources.mapInArrow(tokens, "cls long, tokens binary")
+        if repeated_ids:
+            sets = sets.groupBy("cls").agg(F.first("tokens").alias("tokens"))
+        return B.checkpointed(verified(pairs, B.checkpointed(sets)))
 
     least = members.groupBy("gid").agg(F.min("cls").alias("m")).withColumnRenamed("gid", "g")
     links = members.join(least, F.col("gid") == F.col("g")).where("cls <> m").groupBy("cls").agg(F.min("m").alias("v")).select(F.col("cls").alias("u"), "v")
-    first_links = B.checkpointed(verified(links, hashes))
+    first_links = verify(plausible(links, classes))
     comp = components(first_links)
     placed = members.join(comp, F.col("cls") == F.col("node"), "left").select("gid", "cls", F.coalesce("root", "cls").alias("comp"))
     groups = placed.groupBy("gid").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("gid").alias("g"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
     open_ = placed.join(groups, F.col("gid") == F.col("g")).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
     spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spread = spread.select("gid", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.when(F.col("chunk") == F.col("other"), -1).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"), "cls", "comp")
-    dealt = spread.join(sets.select(F.col("cls").alias("c"), "n", "sketch"), F.col("cls") == F.col("c")).select("gid", "i", "j", "side", "cls", "comp", "n", "sketch")
+    dealt = spread.join(classes.select(F.col("cls").alias("c"), "n", "sketch"), F.col("cls") == F.col("c")).select("gid", "i", "j", "side", "cls", "comp", "n", "sketch")
     more = dealt.groupBy("gid", "i", "j").applyInArrow(lambda t: near_pairs(t), "u long, v long").distinct()
-    second_links = verified(more, hashes)
-    every = components(first_links.unionByName(second_links))
+    every = components(first_links.unionByName(verify(more)))
 
     of = classes.join(every, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     name = of.groupBy("root").agg(F.min("first").alias("component_id"))

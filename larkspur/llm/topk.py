@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import blocks as B
 
-SAMPLE = 20_000
 LEAD = 16
 BLOCK = 8192
 #: Added to floating bounds, far above their rounding errors.
@@ -50,8 +49,21 @@ def matrix(column: pa.ChunkedArray, kind) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(len(flat), -1).astype(kind)
 
 
-def rotation(sample: np.ndarray) -> np.ndarray:
-    return np.linalg.svd(sample, full_matrices=True)[2].T if len(sample) else np.zeros((0, 0))
+def rotation(vectors: DataFrame, d: int) -> np.ndarray:
+    """The right singular vectors, largest first, as columns; ``vectors`` has v of d integers."""
+
+    def outer(batches):
+        total = np.zeros((d, d))
+        for b in batches:
+            x = matrix(pa.chunked_array([b.column(0)]), np.float64)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d, dtype=np.int64)), pa.array(total.ravel())], names=["k", "x"])
+
+    rows = vectors.select("v").mapInArrow(outer, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()  # d * d rows
+    gram = np.zeros(d * d)
+    for r in rows:
+        gram[r["k"]] = r["x"]
+    return np.linalg.svd(gram.reshape(d, d))[0]
 
 
 def best(qid: np.ndarray, cid: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -110,7 +122,7 @@ def scored(queries: tuple, cands: tuple, rot: np.ndarray, floor: np.ndarray, k:
     return pa.table({"query_id": q[keep], "vec_id": c[keep], "score": s[keep]})
 
 
-def exact_topk(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK, lead: int = LEAD, sample: int = SAMPLE) -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK, lead: int = LEAD) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best; ``is_query`` is a condition on ``id``.
 
     Products stay exact while a squared length is below 2**52, in which doubles hold integers.
@@ -124,7 +136,7 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id: s
     if most >= 1 << 52:
         raise ValueError("components are too large for exact products")
     ints = ints.where(F.size("v") == d)
-    rot = rotation(np.array([r.v for r in ints.orderBy(F.xxhash64("id")).limit(sample).select("v").collect()], dtype=np.float64))
+    rot = rotation(ints, d)
     lead = min(lead, d)
     # Blocks of about equal numbers in order of descending length, by approximate quantiles of a bounded number.
     blocks = min(4096, max(1, math.ceil(n / block)))

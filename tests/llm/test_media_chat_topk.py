@@ -112,7 +112,7 @@ def test_topk_brute(spark, block, lead):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [None] * 8), (902, [float("nan")] * 8), (903, [1.0]), (20, x[7].tolist())]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int")
     got = {}
-    for row in exact_topk(df, lambda i: i % 20 == 0, k=5, block=block, lead=lead, sample=50).collect():
+    for row in exact_topk(df, lambda i: i % 20 == 0, k=5, block=block, lead=lead).collect():
         got.setdefault(row.query_id, []).append((row["rank"], row.vec_id, row.score))
     ids = [i for i, v in rows if i < 900]
     v = np.array([np.floor(np.array(v) * 64) for i, v in rows if i < 900])

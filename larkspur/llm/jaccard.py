@@ -9,8 +9,9 @@ symmetric difference from below, and of T pieces T - D at least agree (pigeonhol
 sets share a piece that isn't empty, for T exceeds D plus the number of empty pieces; a set
 with more empty pieces than that also sends its empty ones, so nothing is lost. Pieces are keys
 that meet in buckets, packed. No pair is formed there: a set first gets a link to the least of
-those it meets; then the sets of a group that are not connected yet are compared, block by
-block for large groups. Either kind of pair must pass bit sketches (XOR of one bit for each
+those it meets; then each set of a group that isn't all connected yet gets one link to the
+nearest of another component, until that connects nothing more; last, what is still apart is
+compared in full, block by block for large groups. Each pair must pass bit sketches (XOR of one bit for each
 token), whose Hamming distance again bounds the symmetric difference, and what passes is
 verified on the sets themselves. Components are those of verified links, by alternating steps
 to stars, checkpointed.
@@ -43,6 +44,8 @@ NUM, DEN = 80, 100
 LEAST_BUCKETS = 32
 BUCKET_BYTES = 24 << 20
 FLUSH_BYTES = 24 << 20
+#: Rounds of links to the nearest, at most; the comparison in full after them loses nothing.
+ROUNDS = 4
 #: Members of a group that one task compares with as many others.
 CHUNK = 2048
 #: Up to so many ids (8 MB) of texts to verify are broadcast; more are joined by a shuffle.
@@ -187,27 +190,39 @@ def folded(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def near_pairs(t: pa.Table, num: int = NUM, den: int = DEN) -> pa.Table:
-    """Two chunks of a group (or one with itself): pairs of other components that the bound doesn't rule out."""
+def near_pairs(t: pa.Table, nearest: bool, num: int = NUM, den: int = DEN) -> pa.Table:
+    """Two chunks of a group (or one with itself): pairs of other components that the bound doesn't rule out.
+
+    With ``nearest`` only one for each set of the first chunk, that of least distance.
+    """
     cls, comp, n, side = (t[c].to_numpy() for c in ("cls", "comp", "n", "side"))
     raw = [np.frombuffer(x, dtype=np.uint8) for x in t["sketch"].to_pylist()]
     size = min(map(len, raw))
     bits = np.stack([folded(x, size) for x in raw]).view(np.uint64 if size % 8 == 0 else np.uint8)
     a, b = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)
-    if (side < 0).all():
-        b = a
-    left, right = [], []
+    alone = bool((side < 0).all())
+    left, right, gap = [], [], []
     for i in a:
-        m = b[(comp[b] != comp[i]) & (cls[b] > cls[i] if b is a else True)]
+        m = b[comp[b] != comp[i]]
+        if alone and not nearest:
+            m = m[cls[m] > cls[i]]
         m = m[(np.minimum(n[m], n[i]) * den >= num * np.maximum(n[m], n[i]))]
         if not len(m):
             continue
         far = np.bitwise_count(bits[m] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        m = m[far * (num + den) <= (n[m] + n[i]) * (den - num)]
-        left.append(np.minimum(cls[m], cls[i]))
-        right.append(np.maximum(cls[m], cls[i]))
+        ok = far * (num + den) <= (n[m] + n[i]) * (den - num)
+        m, far = m[ok], far[ok]
+        if nearest and len(m):
+            k = np.lexsort((cls[m], far))[:1]
+            m, far = m[k], far[k]
+        left.append(np.full(len(m), cls[i]))
+        right.append(cls[m])
+        gap.append(far)
     e = np.zeros(0, dtype=np.int64)
-    return pa.table({"u": pa.array(np.concatenate([e, *left])), "v": pa.array(np.concatenate([e, *right]))})
+    u, v = np.concatenate([e, *left]), np.concatenate([e, *right])
+    if not nearest:
+        u, v = np.minimum(u, v), np.maximum(u, v)
+    return pa.table({"u": pa.array(u), "v": pa.array(v), "far": pa.array(np.concatenate([e, *gap]))})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -304,16 +319,31 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id",
 
     least = members.groupBy("gid").agg(F.min("cls").alias("m")).withColumnRenamed("gid", "g")
     links = members.join(least, F.col("gid") == F.col("g")).where("cls <> m").groupBy("cls").agg(F.min("m").alias("v")).select(F.col("cls").alias("u"), "v")
-    first_links = verify(plausible(links, classes))
-    comp = components(first_links)
-    placed = members.join(comp, F.col("cls") == F.col("node"), "left").select("gid", "cls", F.coalesce("root", "cls").alias("comp"))
-    groups = placed.groupBy("gid").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("gid").alias("g"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    open_ = placed.join(groups, F.col("gid") == F.col("g")).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-    spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    spread = spread.select("gid", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.when(F.col("chunk") == F.col("other"), -1).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"), "cls", "comp")
-    dealt = spread.join(classes.select(F.col("cls").alias("c"), "n", "sketch"), F.col("cls") == F.col("c")).select("gid", "i", "j", "side", "cls", "comp", "n", "sketch")
-    more = dealt.groupBy("gid", "i", "j").applyInArrow(lambda t: near_pairs(t), "u long, v long").distinct()
-    every = components(first_links.unionByName(verify(more)))
+    every = components(verify(plausible(links, classes)))
+
+    def apart(comp: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs (u, v, far) of sets in groups that hold more than one component."""
+        placed = members.join(comp, F.col("cls") == F.col("node"), "left").select("gid", "cls", F.coalesce("root", "cls").alias("comp"))
+        groups = placed.groupBy("gid").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("gid").alias("g"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+        open_ = placed.join(groups, F.col("gid") == F.col("g")).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+        spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        spread = spread.select("gid", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.when(F.col("chunk") == F.col("other"), -1).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"), "cls", "comp")
+        dealt = spread.join(classes.select(F.col("cls").alias("c"), "n", "sketch"), F.col("cls") == F.col("c")).select("gid", "i", "j", "side", "cls", "comp", "n", "sketch")
+        return dealt.groupBy("gid", "i", "j").applyInArrow(lambda t: near_pairs(t, nearest), "u long, v long, far long")
+
+    def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+        """Components of the old ones and new links, the links as links of old components."""
+        at = lambda x: comp.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}"))
+        up = links.join(at("u"), F.col("u") == F.col("nu"), "left").join(at("v"), F.col("v") == F.col("nv"), "left")
+        up = up.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")).distinct()
+        return components(comp.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(up))
+
+    for _ in range(ROUNDS):
+        new = verify(apart(every, True).groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v")))
+        if new.isEmpty():
+            break
+        every = joined(every, new)
+    every = joined(every, verify(apart(every, False).select("u", "v").distinct()))
 
     of = classes.join(every, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     name = of.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -46,8 +46,10 @@ BUCKET_BYTES = 24 << 20
 FLUSH_BYTES = 24 << 20
 #: Rounds of links to the nearest, at most; the comparison in full after them loses nothing.
 ROUNDS = 4
-#: Members of a group that one task compares with as many others.
+#: Members of a group that one block compares with as many others.
 CHUNK = 2048
+#: Comparisons that a task makes at once.
+SLAB = 1 << 19
 #: Up to so many ids (8 MB) of texts to verify are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -190,39 +192,89 @@ def folded(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def near_pairs(t: pa.Table, nearest: bool, num: int = NUM, den: int = DEN) -> pa.Table:
-    """Two chunks of a group (or one with itself): pairs of other components that the bound doesn't rule out.
+def near_pairs(rows: Iterator[pa.RecordBatch], nearest: bool, num: int = NUM, den: int = DEN) -> Iterator[pa.RecordBatch]:
+    """Pairs of other components that the bound doesn't rule out, from rows sorted by their block (gid, i, j).
 
-    With ``nearest`` only one for each set of the first chunk, that of least distance.
+    A block's rows of side -1 and 0 ask, those of side -1 and 1 answer; rows of the group's home
+    component only answer. With ``nearest`` an asking set gets only the one of least distance.
     """
-    cls, comp, n, side = (t[c].to_numpy() for c in ("cls", "comp", "n", "side"))
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in rows:
+        if not b.num_rows:
+            continue
+        block = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)])
+        if last is not None and (block[:, 0] != last).any():
+            yield from block_pairs(held, nearest, num, den)
+            held = []
+        last = block[:, -1]
+        new = np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1
+        whole = int(new[-1]) if len(new) else 0
+        if whole:
+            yield from block_pairs([*held, b.slice(0, whole)], nearest, num, den)
+            held = []
+        held.append(b.slice(whole))
+    if held:
+        yield from block_pairs(held, nearest, num, den)
+
+
+def block_pairs(held: list[pa.RecordBatch], nearest: bool, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole blocks, all blocks at once, in slabs of a bounded number of comparisons."""
+    t = pa.Table.from_batches(held)
+    gid, i, j, side, cls, comp, n = (t[c].to_numpy() for c in ("gid", "i", "j", "side", "cls", "comp", "n"))
+    home = t["home"].to_numpy(zero_copy_only=False)
     raw = [np.frombuffer(x, dtype=np.uint8) for x in t["sketch"].to_pylist()]
-    size = min(map(len, raw))
-    bits = np.stack([folded(x, size) for x in raw]).view(np.uint64 if size % 8 == 0 else np.uint8)
-    a, b = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)
-    alone = bool((side < 0).all())
-    left, right, gap = [], [], []
-    for i in a:
-        m = b[comp[b] != comp[i]]
-        if alone and not nearest:
-            m = m[cls[m] > cls[i]]
-        m = m[(np.minimum(n[m], n[i]) * den >= num * np.maximum(n[m], n[i]))]
-        if not len(m):
+    width = np.array([len(x) for x in raw], dtype=np.int64)
+    start = np.flatnonzero(np.concatenate([[True], (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    length = np.diff(np.append(start, len(gid)))
+    of = np.repeat(np.arange(len(start)), length)
+    ask = np.flatnonzero((side <= 0) & ~home)
+    at = np.concatenate([[0], np.cumsum(length[of[ask]])])
+    matrices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at_size(size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sketches folded to a size, and the place of each row among them."""
+        if size not in matrices:
+            mine = np.flatnonzero((width == size) | (width == 2 * size))
+            place = np.zeros(len(raw), dtype=np.int64)
+            place[mine] = np.arange(len(mine))
+            matrices[size] = np.stack([folded(raw[k], size) for k in mine]).view(np.uint64), place
+        return matrices[size]
+
+    lo = 0
+    while lo < len(ask):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLAB, side="right")) - 1)
+        q = ask[lo:hi]
+        lo = hi
+        x = np.repeat(q, length[of[q]])
+        y = K.ranges(start[of[q]], length[of[q]])
+        ok = (side[y] != 0) & (comp[x] != comp[y])
+        if not nearest:
+            ok &= home[y] | (cls[y] > cls[x])
+        x, y = x[ok], y[ok]
+        ok = np.minimum(n[x], n[y]) * den >= num * np.maximum(n[x], n[y])
+        x, y = x[ok], y[ok]
+        if not len(x):
             continue
-        far = np.bitwise_count(bits[m] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        ok = far * (num + den) <= (n[m] + n[i]) * (den - num)
-        m, far = m[ok], far[ok]
-        if nearest and len(m):
-            k = np.lexsort((cls[m], far))[:1]
-            m, far = m[k], far[k]
-        left.append(np.full(len(m), cls[i]))
-        right.append(cls[m])
-        gap.append(far)
-    e = np.zeros(0, dtype=np.int64)
-    u, v = np.concatenate([e, *left]), np.concatenate([e, *right])
-    if not nearest:
-        u, v = np.minimum(u, v), np.maximum(u, v)
-    return pa.table({"u": pa.array(u), "v": pa.array(v), "far": pa.array(np.concatenate([e, *gap]))})
+        size = np.minimum(width[x], width[y])
+        far = np.zeros(len(x), dtype=np.int64)
+        for w in np.unique(size).tolist():
+            bits, place = at_size(w)
+            p = np.flatnonzero(size == w)
+            step = max(1, SLAB * 16 // w)
+            for k in range(0, len(p), step):
+                c = p[k : k + step]
+                far[c] = np.bitwise_count(bits[place[x[c]]] ^ bits[place[y[c]]]).sum(axis=1, dtype=np.int64)
+        ok = far * (num + den) <= (n[x] + n[y]) * (den - num)
+        x, y, far = x[ok], y[ok], far[ok]
+        u, v = cls[x], cls[y]
+        if nearest:
+            k = np.lexsort((v, far, u))
+            k = k[np.concatenate([[True], u[k][1:] != u[k][:-1]])] if len(k) else k
+            u, v, far = u[k], v[k], far[k]
+        else:
+            u, v = np.minimum(u, v), np.maximum(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(far)], names=["u", "v", "far"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -324,12 +376,20 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id",
     def apart(comp: DataFrame, nearest: bool) -> DataFrame:
         """Pairs (u, v, far) of sets in groups that hold more than one component."""
         placed = members.join(comp, F.col("cls") == F.col("node"), "left").select("gid", "cls", F.coalesce("root", "cls").alias("comp"))
-        groups = placed.groupBy("gid").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("gid").alias("g"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-        open_ = placed.join(groups, F.col("gid") == F.col("g")).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-        spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        spread = spread.select("gid", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.when(F.col("chunk") == F.col("other"), -1).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"), "cls", "comp")
-        dealt = spread.join(classes.select(F.col("cls").alias("c"), "n", "sketch"), F.col("cls") == F.col("c")).select("gid", "i", "j", "side", "cls", "comp", "n", "sketch")
-        return dealt.groupBy("gid", "i", "j").applyInArrow(lambda t: near_pairs(t, nearest), "u long, v long, far long")
+        # The largest component of a group is its home: its sets answer and needn't ask.
+        parts = placed.groupBy("gid", "comp").agg(F.count("*").alias("k"))
+        groups = parts.groupBy(F.col("gid").alias("g")).agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("most")).where("size > most.k")
+        chunks = lambda c: F.ceil(c / CHUNK).cast("int")
+        groups = groups.select("g", F.col("most.comp").alias("at_home"), chunks(F.col("size") - F.col("most.k")).alias("asking"), chunks(F.col("size")).alias("answering"))
+        open_ = placed.join(groups, F.col("gid") == F.col("g")).withColumn("home", F.col("comp") == F.col("at_home"))
+        mine = lambda c, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(c)).cast("int")
+        open_ = open_.withColumn("a", mine("asking", 1)).withColumn("b", mine("answering", 2))
+        # A set answers in its column of blocks and, unless at home, asks in its row of blocks.
+        column = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda i: F.struct(i.alias("i"), F.col("b").alias("j"), F.when(~F.col("home") & (i == F.col("a")), -1).otherwise(1).alias("side")))
+        row = F.transform(F.filter(F.sequence(F.lit(0), F.col("answering") - 1), lambda j: ~F.col("home") & (j != F.col("b"))), lambda j: F.struct(F.col("a").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+        spread = open_.select("gid", "cls", "comp", "home", F.explode(F.concat(column, row)).alias("p")).select("gid", "p.i", "p.j", "p.side", "cls", "comp", "home")
+        dealt = spread.join(classes.select(F.col("cls").alias("c"), "n", "sketch"), F.col("cls") == F.col("c")).select("gid", "i", "j", "side", "cls", "comp", "home", "n", "sketch")
+        return dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(lambda it: near_pairs(it, nearest), "u long, v long, far long")
 
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
         """Components of the old ones and new links, the links as links of old components."""
@@ -339,10 +399,13 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id",
         return components(comp.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(up))
 
     for _ in range(ROUNDS):
-        new = verify(apart(every, True).groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v")))
-        if new.isEmpty():
+        tried = B.checkpointed(apart(every, True).groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v")))
+        new = verify(tried)
+        found = new.count()
+        if found:
+            every = joined(every, new)
+        if 2 * found < tried.count():  # what remains are mostly sets that only seem near
             break
-        every = joined(every, new)
     every = joined(every, verify(apart(every, False).select("u", "v").distinct()))
 
     of = classes.join(every, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))

@@ -9,6 +9,8 @@ its size. Nothing is collected by the driver but the total size.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -35,6 +37,39 @@ def size_of(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
 
 
+def release() -> None:
+    """Gives freed memory back to the system, as Spark keeps idle Python workers."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def releasing(f: Callable) -> Callable:
+    """A function for groups, after each of which freed memory is given back."""
+
+    @functools.wraps(f)
+    def work(t: pa.Table) -> pa.Table:
+        try:
+            return f(t)
+        finally:
+            release()
+
+    return work
+
+
+def streaming(f: Callable) -> Callable:
+    """The same for a function of a task's batches, after the last one."""
+
+    @functools.wraps(f)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return work
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that the session names.
 
@@ -122,7 +157,7 @@ def repeated_hashes(docs_b: DataFrame, hashes: Callable[[pa.Table], tuple[np.nda
     def send(t: pa.Table) -> pa.Table:
         return count_rows(t["block"][0].as_py(), *hashes(t), buckets)
 
-    return docs_b.groupBy("block").applyInArrow(send, COUNTS).groupBy("bucket").applyInArrow(repeated, RETURNED)
+    return docs_b.groupBy("block").applyInArrow(releasing(send), COUNTS).groupBy("bucket").applyInArrow(releasing(repeated), RETURNED)
 
 
 def gathered(t: pa.Table) -> np.ndarray:

@@ -64,5 +64,11 @@ class ChunkEncoder:
     def _chunk(self, text: str) -> bytes:
         return b"".join(map(self.pretokens.__getitem__, self.find(text)))
 
+    def forget(self) -> None:
+        """Empties what is kept; tasks call it at their end, as idle workers are kept with all they hold."""
+        for kept in (self.pretokens, self.chunks):
+            kept.clear()
+            kept.old = {}
+
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, chunks(text)))

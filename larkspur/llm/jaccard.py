@@ -328,7 +328,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN)
                 ok.append(den * both >= num * (len(a) + len(b) - both))
             yield x.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(work, "u long, v long")
+    return both.mapInArrow(B.streaming(work), "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -343,11 +343,11 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["id", "n", "cls", "sketch"])
 
     # Small rows: id, size, class and sketch of every document.
-    rows = B.checkpointed(only.mapInArrow(measured, "id long, n long, cls long, sketch binary"))
+    rows = B.checkpointed(only.mapInArrow(B.streaming(measured), "id long, n long, cls long, sketch binary"))
     classes = rows.where("cls <> 0").groupBy("cls").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     buckets = max(LEAST_BUCKETS, math.ceil(total * 0.6 / BUCKET_BYTES))
-    keys = only.select("text").mapInArrow(lambda it: key_rows(it, size, buckets), "bucket int, classes binary, counts binary, low binary, high binary")
-    members = B.checkpointed(keys.groupBy("bucket").applyInArrow(bucket_groups, "gid long, cls long").distinct())
+    keys = only.select("text").mapInArrow(B.streaming(lambda it: key_rows(it, size, buckets)), "bucket int, classes binary, counts binary, low binary, high binary")
+    members = B.checkpointed(keys.groupBy("bucket").applyInArrow(B.releasing(bucket_groups), "gid long, cls long").distinct())
     repeated_ids = rows.groupBy("id").agg(F.countDistinct("cls").alias("k")).where("k > 1").limit(1).count()
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +364,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id",
         chosen = B.checkpointed(classes.join(ends, F.col("cls") == F.col("e"), "left_semi").select(F.col("first").alias("f"), "cls"))
         few = chosen.count() <= BROADCAST_IDS
         sources = only.join(F.broadcast(chosen) if few else chosen, F.col("id").eqNullSafe(F.col("f"))).select("cls", "text")
-        sets = sources.mapInArrow(tokens, "cls long, tokens binary")
+        sets = sources.mapInArrow(B.streaming(tokens), "cls long, tokens binary")
         if repeated_ids:
             sets = sets.groupBy("cls").agg(F.first("tokens").alias("tokens"))
         return B.checkpointed(verified(pairs, B.checkpointed(sets)))
@@ -389,7 +389,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id",
         row = F.transform(F.filter(F.sequence(F.lit(0), F.col("answering") - 1), lambda j: ~F.col("home") & (j != F.col("b"))), lambda j: F.struct(F.col("a").alias("i"), j.alias("j"), F.lit(0).alias("side")))
         spread = open_.select("gid", "cls", "comp", "home", F.explode(F.concat(column, row)).alias("p")).select("gid", "p.i", "p.j", "p.side", "cls", "comp", "home")
         dealt = spread.join(classes.select(F.col("cls").alias("c"), "n", "sketch"), F.col("cls") == F.col("c")).select("gid", "i", "j", "side", "cls", "comp", "home", "n", "sketch")
-        return dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(lambda it: near_pairs(it, nearest), "u long, v long, far long")
+        return dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(B.streaming(lambda it: near_pairs(it, nearest)), "u long, v long, far long")
 
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
         """Components of the old ones and new links, the links as links of old components."""

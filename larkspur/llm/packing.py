@@ -173,9 +173,10 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, end: int = 0, capacit
                         column.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["id", "piece", "start", "length", "ids"])
+        encode.forget()
 
     only = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return only.mapInArrow(work, "id long, piece int, start long, length long, ids binary").withColumnRenamed("id", id)
+    return only.mapInArrow(B.streaming(work), "id long, piece int, start long, length long, ids binary").withColumnRenamed("id", id)
 
 
 def packed_digests(docs: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ SHINGLE = 5
 NUM, DEN = 80, 100
 LEAST_BUCKETS = 32
 BUCKET_BYTES = 24 << 20
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 8 << 20
 #: Rounds of links to the nearest, at most; the comparison in full after them loses nothing.
 ROUNDS = 4
 #: Members of a group that one block compares with as many others.

@@ -2,7 +2,8 @@
 
 Two strings with an Indel ratio of 0.68 or more share a padded letter pair: each insertion or
 deletion breaks two pairs at most. So candidates come from an equi-join on pairs (or on a
-shared word, for token sets), not from all pairs of strings.
+shared word, for token sets, whose words are sorted first). No such rule holds for windows of
+a longer string or below 0.68: there every query meets every choice.
 """
 
 from __future__ import annotations
@@ -13,27 +14,43 @@ from pyspark.sql import functions as F
 from larkspur.functions import similarity as S
 
 
+#: From this ratio on two strings share a padded letter pair.
+PAIRS_FROM = 0.68
+
+
 def letter_pairs(c: Column) -> Column:
     padded = F.concat(F.lit("\u0001"), c, F.lit("\u0001"))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(padded, i, F.lit(2))))
 
 
-def candidates(queries: DataFrame, choices: DataFrame, least: float, words: bool = False) -> DataFrame:
-    """query_id, query, choice: pairs that may reach ``least``; with ``words`` any shared word will do."""
-    q = queries.select("query_id", "query", F.explode(letter_pairs(F.col("query"))).alias("g"), F.size(letter_pairs(F.col("query"))).alias("nq"))
-    c = choices.select("choice", F.explode(letter_pairs(F.col("choice"))).alias("g"))
-    near = q.join(c, "g").groupBy("query_id", "query", "choice").agg(F.count("*").alias("shared"))
-    short = 2 * F.least(F.length("query"), F.length("choice")) >= least * (F.length("query") + F.length("choice"))
-    near = near.where(short).select("query_id", "query", "choice")
-    if words:
-        w = queries.select("query_id", "query", F.explode(F.array_distinct(F.split("query", " "))).alias("w")).join(choices.select("choice", F.explode(F.array_distinct(F.split("choice", " "))).alias("w")), "w")
-        near = near.unionByName(w.where("w <> ''").select("query_id", "query", "choice")).distinct()
+def sorted_words(c: Column) -> Column:
+    """The distinct words in order: what a token-set ratio without shared words compares."""
+    return F.array_join(F.array_sort(F.array_distinct(words_of(c))), " ")
+
+
+def words_of(c: Column) -> Column:
+    return F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")
+
+
+def candidates(queries: DataFrame, choices: DataFrame, least: float, scorer=S.indel_ratio) -> DataFrame:
+    """query_id, query, choice: all pairs that may reach ``least`` by the scorer."""
+    if least < PAIRS_FROM or scorer not in (S.indel_ratio, S.token_set_ratio):
+        return queries.select("query_id", "query").crossJoin(choices.select("choice"))
+    form = sorted_words if scorer is S.token_set_ratio else (lambda c: c)
+    q = queries.select("query_id", "query", form(F.col("query")).alias("qf"))
+    c = choices.select("choice", form(F.col("choice")).alias("cf"))
+    near = q.withColumn("g", F.explode(letter_pairs(F.col("qf")))).join(c.withColumn("g", F.explode(letter_pairs(F.col("cf")))), "g")
+    short = 2 * F.least(F.length("qf"), F.length("cf")) >= least * (F.length("qf") + F.length("cf"))
+    near = near.where(short).select("query_id", "query", "choice").distinct()
+    if scorer is S.token_set_ratio:
+        w = queries.select("query_id", "query", F.explode(words_of(F.col("query"))).alias("w")).join(choices.select("choice", F.explode(words_of(F.col("choice"))).alias("w")), "w")
+        near = near.unionByName(w.select("query_id", "query", "choice")).distinct()
     return near
 
 
-def best_matches(queries: DataFrame, choices: DataFrame, k: int, least: float, scorer=S.token_set_ratio, words: bool = True) -> DataFrame:
+def best_matches(queries: DataFrame, choices: DataFrame, k: int, least: float, scorer=S.token_set_ratio) -> DataFrame:
     """The k best choices of each query that reach ``least``, ties to the first in alphabetical order."""
-    scored = candidates(queries, choices, least, words).withColumn("score", F.round(scorer("query", "choice"), 6)).where(F.col("score") >= least)
+    scored = candidates(queries, choices, least, scorer).withColumn("score", F.round(scorer("query", "choice"), 6)).where(F.col("score") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "choice")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -42,7 +59,7 @@ def token_repairs(queries: DataFrame, vocabulary: DataFrame, least: float = 0.83
     """query_id, repaired, confidence: each unknown token of over 2 letters replaced by its best match."""
     words = queries.select("query_id", F.posexplode(F.split("query", " ")).alias("pos", "token"))
     unknown = words.where("length(token) > 2").join(vocabulary.select(F.col("term").alias("token")), "token", "left_anti").select("token").distinct()
-    best = best_matches(unknown.select(F.col("token").alias("query_id"), F.col("token").alias("query")), vocabulary.select(F.col("term").alias("choice")), 1, least, words=False)
+    best = best_matches(unknown.select(F.col("token").alias("query_id"), F.col("token").alias("query")), vocabulary.select(F.col("term").alias("choice")), 1, least, S.indel_ratio)
     fixed = words.join(best.select(F.col("query_id").alias("token"), "choice", "score"), "token", "left")
     out = fixed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("choice", "token").alias("t")))), lambda x: x["t"]), " ").alias("repaired"), F.min("score").alias("confidence"))
     return out.where("confidence is not null")

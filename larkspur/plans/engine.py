@@ -64,7 +64,8 @@ def search(catalogue: DataFrame, queries: DataFrame, filters: dict | None = None
     sem = cosine(c, "course_id", "all_text", q, "normalized")
     pho = phonetic(c, "course_id", "all_text", terms)
     mat = matched(c, "course_id", "all_text", terms)
-    near = repair.candidates(q.select("query_id", F.col("normalized").alias("query")), I.title_choices(c, F.col("title")), 0.5, words=True)
+    # The signal counts at any height and takes windows, so every query meets every distinct title.
+    near = q.select("query_id", F.col("normalized").alias("query")).crossJoin(I.title_choices(c, F.col("title")))
     fuz = near.withColumn("fuzzy", F.round(F.greatest(S.indel_ratio("query", "choice"), S.partial_ratio("query", "choice"), S.token_set_ratio("query", "choice")), 4))
     fuz = fuz.join(c.select("course_id", X.match_norm(F.col("title")).alias("choice")), "choice").groupBy("query_id", "course_id").agg(F.max("fuzzy").alias("fuzzy"))
     keys, every = ["query_id", "course_id"], None

@@ -277,7 +277,7 @@ def _titles(spark, sf) -> DataFrame:
 @query()
 def fuzzy_ratio_topk(spark, sf):
     one = spark.createDataFrame([(0, "smal bolt")], "query_id int, query string")
-    return repair.best_matches(one, _titles(spark, sf), 5, 0.7, S.indel_ratio, words=False).select("query_id", "choice", "score", "rank")
+    return repair.best_matches(one, _titles(spark, sf), 5, 0.7, S.indel_ratio).select("query_id", "choice", "score", "rank")
 
 
 @query()
@@ -308,7 +308,7 @@ def repair_whole(spark, sf):
 def repair_spacing(spark, sf):
     joined = _titles(spark, sf).select(F.replace("choice", F.lit(" "), F.lit("")).alias("c"), "choice").groupBy("c").agg(F.min("choice").alias("original"))
     qs = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), X.compact(F.col("p_name")).alias("query"))
-    got = repair.best_matches(qs, joined.select(F.col("c").alias("choice")), 3, 0.86, words=False)
+    got = repair.best_matches(qs, joined.select(F.col("c").alias("choice")), 3, 0.86, S.indel_ratio)
     return got.join(joined.select(F.col("c").alias("choice"), "original"), "choice").select("query_id", "original", "score", "rank")
 
 

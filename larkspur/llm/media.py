@@ -6,9 +6,9 @@ stray magic string is no find. The declared type is corrected by what is found a
 and media embedded further on are carved out with their exact bounds.
 
 Formats: WAV (RIFF chunks up to the declared length), PNG (chunks with their checksums up to
-IEND), GIF (blocks up to the trailer), ZIP-free PDF (header to the last %%EOF of its revision),
-JPEG (segments, then scan data up to the end marker), FLAC and gzip (headers; they run to the
-end of the bytes, for their length isn't stored).
+IEND), GIF (blocks up to the trailer), ZIP-free PDF (header to the %%EOF of its last incremental
+revision), JPEG (segments, then scan data up to the end marker), gzip (inflated to its end, with
+its checksum; each member is a find), FLAC (header; it runs to the end of the bytes).
 
 ``as_wave`` stores any bytes losslessly as the samples of an 8-bit mono WAV file.
 
@@ -20,6 +20,7 @@ rows are independent, so repeated rows give equal results and an empty table an
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,6 +35,7 @@ from larkspur.llm import blocks as B
 
 RATE = 16_000
 WAVE_HEADER = 44
+GZIP_PIECE = 1 << 16
 #: The byte strings by which formats begin.
 MAGIC = {
     b"RIFF": "audio/wav",
@@ -114,9 +116,27 @@ def jpeg_end(b: bytes, at: int) -> int | None:
     return None
 
 
+PDF_MARK = re.compile(rb"(%%EOF)|(%PDF-)|(>>\s*stream\r?\n)|(endstream)")
+PDF_UPDATE = re.compile(rb"(?:\s|%(?!PDF-)[^\r\n]*[\r\n])*(?:\d+\s+\d+\s+obj|xref|startxref)\b")
+
+
 def pdf_end(b: bytes, at: int) -> int | None:
-    end = b.rfind(b"%%EOF", at)
-    return end + 5 if end > at and b"startxref" in b[at:end] else None
+    """The last %%EOF before the next header and before bytes that are no update; files in streams belong to the outer one."""
+    end, p, depth = None, at + 5, 0
+    for m in PDF_MARK.finditer(b, at + 5):
+        if m[3]:
+            depth += 1
+        elif m[4]:
+            depth = max(depth - 1, 0)
+        elif depth:
+            continue
+        elif m[2] or (end is not None and not PDF_UPDATE.match(b, end)):
+            return end
+        elif (x := b.rfind(b"startxref", p, m.start())) >= 0:
+            p = m.end()
+            if b[x + 9 : m.start()].strip() != b"0":  # the first part of a linearized file refers to 0
+                end = p
+    return end
 
 
 def flac_end(b: bytes, at: int) -> int | None:
@@ -124,12 +144,18 @@ def flac_end(b: bytes, at: int) -> int | None:
 
 
 def gzip_end(b: bytes, at: int) -> int | None:
+    d, p = zlib.decompressobj(31), at
     try:
-        d = zlib.decompressobj(31)
-        d.decompress(b[at : at + 512], 64)
-        return len(b)
+        while not d.eof:
+            piece = d.unconsumed_tail
+            if not piece:
+                piece, p = b[p : p + GZIP_PIECE], p + GZIP_PIECE
+                if not piece:
+                    return None
+            d.decompress(piece, GZIP_PIECE)
     except zlib.error:
         return None
+    return min(p, len(b)) - len(d.unused_data)
 
 
 VALIDATORS = {"audio/wav": wave_end, "image/png": png_end, "image/gif": gif_end, "image/jpeg": jpeg_end, "application/pdf": pdf_end, "audio/flac": flac_end, "application/gzip": gzip_end}

@@ -65,6 +65,22 @@ def token_repairs(queries: DataFrame, vocabulary: DataFrame, least: float = 0.83
     return out.where("confidence is not null")
 
 
+def whole_repairs(queries: DataFrame, choices: DataFrame, k: int = 3) -> DataFrame:
+    """query_id, query, choice, score, rank: titles like the query (0.82), or like it without spaces.
+
+    Without spaces a single word of 10 letters or more needs 0.74, others 0.86. Titles that equal
+    the query are no repair; a title found both ways keeps its higher score.
+    """
+    single = ~F.col("query").contains(" ") & (F.length("query") >= 10)
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    compact = choices.groupBy(bare("choice").alias("choice")).agg(F.max("choice").alias("original"))
+    near = best_matches(queries.withColumn("query", bare("query")), compact.select("choice"), k, 0.74, S.indel_ratio).join(compact, "choice").select("query_id", F.col("original").alias("choice"), "score")
+    near = near.join(queries, "query_id").where((F.col("score") >= 0.86) | single)
+    both = best_matches(queries, choices, k, 0.82).select("query_id", "query", "choice", "score").unionByName(near.select("query_id", "query", "choice", "score"))
+    best = both.where("choice <> query").groupBy("query_id", "query", "choice").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "choice")))
+
+
 def segment(text: str, lexicon: dict[str, str]) -> str | None:
     """A compact query cut into at least two words of the lexicon, the longest first at each place."""
     n, longest = len(text), max(map(len, lexicon), default=0)

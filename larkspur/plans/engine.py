@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur import lexicon as L
 from larkspur.errors import ServiceError
 from larkspur.functions import similarity as S
 from larkspur.functions import text as X
@@ -46,34 +47,80 @@ def matched(docs: DataFrame, id: str, text: str, terms: DataFrame) -> DataFrame:
     return posts.join(terms.distinct(), "term").groupBy("query_id", id).agg(F.count("*").alias("matched"), F.array_sort(F.collect_list("term")).alias("matched_terms"))
 
 
+def completed(catalogue: DataFrame) -> DataFrame:
+    """The catalogue with every column that is searched; what a table lacks is empty.
+
+    Adds names (normalised aliases), compact_names, all_text and semantic_text.
+    """
+    none, have = F.array().cast("array<string>"), set(catalogue.columns)
+    lists = {x: F.coalesce(F.col(x), none) if x in have else none for x in ("aliases", "synonyms", "transliterations", "tags", "levels")}
+    texts = {x: F.col(x) if x in have else F.lit(None).cast("string") for x in ("instructor", "topic", "category", "language", "competency_name", "updated_on")}
+    body = {"body": F.col("description")} if "body" not in have and "description" in have else {}
+    scores = {x: F.col(f"{x}_score") for x in ("popularity", "recency") if x not in have and f"{x}_score" in have}
+    c = catalogue.withColumns({**lists, **texts, **body, **scores, "extra": F.map_values("metadata") if "metadata" in have else none})
+    given = F.concat(F.array("title"), F.col("aliases"), F.array(F.coalesce("competency_name", F.lit(""))))
+    # Made once for each distinct name and cut off from the plan, in which the catalogue occurs a dozen times.
+    named = c.select("course_id", F.explode(given).alias("name"))
+    pairs = c.sparkSession.createDataFrame([(k, x) for k, v in L.ROMANIZED.items() for x in v], "a string, b string").select(X.match_norm(F.col("a")).alias("a"), X.match_norm(F.col("b")).alias("b"))
+    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    names = named.select("name").distinct().withColumn("norm", X.match_norm(F.col("name")))
+    spaced = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    forms = names.join(F.broadcast(pairs), spaced(F.col("norm")).contains(spaced(F.col("a")))).select("name", F.col("b").alias("form")).unionByName(names.select("name", F.col("norm").alias("form")))
+    made = named.join(forms.where("form <> ''"), "name").groupBy("course_id").agg(F.collect_set("form").alias("made")).localCheckpoint()
+    c = c.join(made, "course_id", "left").withColumn("transliterations", F.array_distinct(F.concat("transliterations", F.array_sort(F.coalesce("made", none))))).drop("made")
+    more = ["competency_name", "levels", "updated_on", "extra"]
+    return c.withColumns({
+        "names": F.filter(F.array_distinct(F.transform("aliases", X.match_norm)), lambda x: x != ""), "compact_names": F.filter(F.array_distinct(F.transform("aliases", X.compact)), lambda x: x != ""),
+        "all_text": F.concat_ws(" ", "title", "aliases", "synonyms", "transliterations", "body", "tags", "instructor", "topic", "category", "language", *more),
+        "semantic_text": F.concat_ws(" ", "title", "body", "tags", "aliases", "synonyms", "transliterations", "topic", "language", *more),
+    })
+
+
 def phrase() -> "F.Column":
+    """Of title_norm, body_norm, normalized and compacted; with_names() adds the aliases."""
     title, q = F.col("title_norm"), F.col("normalized")
     return F.greatest(F.when((q != "") & F.col("body_norm").contains(q), 1.0).otherwise(0.0), F.when(q == title, 3.0).otherwise(0.0), F.when((F.col("compacted") != "") & (F.col("compacted") == F.replace(title, F.lit(" "), F.lit(""))), 2.6).otherwise(0.0))
 
 
+def with_names(score: "F.Column") -> "F.Column":
+    """The phrase score or, if it is higher, that of an alias that equals the query."""
+    return F.greatest(score, F.when(F.array_contains("names", F.col("normalized")), 3.0).otherwise(0.0), F.when(F.array_contains("compact_names", F.col("compacted")), 2.4).otherwise(0.0))
+
+
+def fuzzy(c: DataFrame, q: DataFrame) -> DataFrame:
+    """query_id, course_id, fuzzy: the best of seven similarities; every query meets every distinct title and alias."""
+    asked = q.select("query_id", F.col("normalized").alias("query"), "compacted")
+    bare = F.replace("choice", F.lit(" "), F.lit(""))
+    whole = (S.indel_ratio("compacted", bare), S.partial_ratio("compacted", bare))
+    titles = c.select("course_id", X.match_norm(F.col("title")).alias("choice"))
+    names = c.select("course_id", F.explode("names").alias("choice"))
+    by_title = asked.crossJoin(titles.select("choice").distinct()).select("query_id", "choice", F.greatest(S.indel_ratio("query", "choice"), S.partial_ratio("query", "choice"), *whole).alias("fuzzy"))
+    by_name = asked.crossJoin(names.select("choice").distinct()).select("query_id", "choice", F.greatest(S.token_set_ratio("query", "choice"), *whole).alias("fuzzy"))
+    both = by_title.join(titles, "choice").unionByName(by_name.join(names, "choice"))
+    return both.groupBy("query_id", "course_id").agg(F.round(F.max("fuzzy"), 4).alias("fuzzy"))
+
+
 def search(catalogue: DataFrame, queries: DataFrame, filters: dict | None = None, sort: str = "relevance", k: int = 10) -> DataFrame:
     """query_id, rank and the hit: course_id, signals, total, confidence, explanations.
 
-    ``catalogue`` has course_id, doc_seq, group_id, title, body and the filter columns.
+    ``catalogue`` has course_id, doc_seq, group_id, title, body and the filter columns, or is
+    one of load_json; aliases, synonyms, transliterations, tags, levels and metadata may be absent.
     """
-    c = catalogue.withColumn("all_text", F.concat_ws(" ", "title", "body", "instructor", "topic", "category", "language"))
+    c = completed(catalogue)
     q = analysed(queries)
     terms = q.select("query_id", F.explode("query_terms").alias("term"))
     lex = lexical.bm25(c, "course_id", F.col("all_text"), terms).withColumnRenamed("score", "lexical")
     head = lexical.bm25(c, "course_id", F.col("all_text"), terms, F.col("title")).withColumnRenamed("score", "title_bm25")
-    sem = cosine(c, "course_id", "all_text", q, "normalized")
+    sem = cosine(c, "course_id", "semantic_text", q, "normalized")
     pho = phonetic(c, "course_id", "all_text", terms)
     mat = matched(c, "course_id", "all_text", terms)
-    # The signal counts at any height and takes windows, so every query meets every distinct title.
-    near = q.select("query_id", F.col("normalized").alias("query")).crossJoin(I.title_choices(c, F.col("title")))
-    fuz = near.withColumn("fuzzy", F.round(F.greatest(S.indel_ratio("query", "choice"), S.partial_ratio("query", "choice"), S.token_set_ratio("query", "choice")), 4))
-    fuz = fuz.join(c.select("course_id", X.match_norm(F.col("title")).alias("choice")), "choice").groupBy("query_id", "course_id").agg(F.max("fuzzy").alias("fuzzy"))
+    fuz = fuzzy(c, q)
     keys, every = ["query_id", "course_id"], None
     for part in (lex, head, sem, pho, mat, fuz):
         every = part if every is None else every.join(part, keys, "full")
     every = every.join(c.withColumn("title_norm", X.match_norm(F.col("title"))).withColumn("body_norm", X.match_norm(F.col("body"))), "course_id").join(q.select("query_id", "normalized", "compacted", "languages"), "query_id")
     zero = {x: F.coalesce(x, F.lit(0.0)) for x in ("lexical", "title_bm25", "semantic", "phonetic", "fuzzy")}
-    every = every.withColumns({**zero, "matched": F.coalesce("matched", F.lit(0)), "phrase": phrase(), "language_boost": F.when(F.array_contains("languages", X.match_norm(F.col("language"))), 1.0).otherwise(0.0)})
+    every = every.withColumns({**zero, "matched": F.coalesce("matched", F.lit(0)), "phrase": with_names(phrase()), "language_boost": F.when(F.array_contains("languages", X.match_norm(F.col("language"))), 1.0).otherwise(0.0)})
     hits = every.withColumn("total", rank.total()).where(rank.admitted()).where(results.passes(filters or {}))
     best = hits.withColumn("g", F.row_number().over(Window.partitionBy("query_id", "group_id").orderBy(*results.order(sort)))).where("g = 1")
     out = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*results.order(sort)))).where(F.col("rank") <= min(k, SETTINGS.max_page_size))

@@ -301,7 +301,7 @@ def repair_tokens(spark, sf):
 @query()
 def repair_whole(spark, sf):
     one = spark.createDataFrame([(0, "smallbolt"), (1, "boltt small")], "query_id int, query string")
-    return repair.best_matches(one, _titles(spark, sf), 3, 0.82).select("query_id", "choice", "score", "rank")
+    return repair.whole_repairs(one, _titles(spark, sf)).select("query_id", "choice", "score", "rank")
 
 
 @query()

@@ -1,10 +1,13 @@
 """Nothing is left out: fuzzy candidates against brute force over all pairs."""
 
+import json
+
 import pytest
 
 from larkspur.functions import similarity as S
 from larkspur.operators import repair
 from larkspur.plans import engine
+from larkspur.sources.catalogue import load_json
 
 LONG = ["lactation counselor program", "advanced thunderbolts and their uses", "bolt", "bolted joints of large machines", "care of the newborn child", "child newborn care", "boltt boltt boltt", "xylophone", "care"]
 ASKED = ["lactaion", "bolt", "newbrn care", "cxaxrxe", "boltt", "program lactation", "nd"]
@@ -27,3 +30,46 @@ def test_search_finds_typo_in_long_title(spark):
     found = engine.SearchEngine(spark, catalogue(spark, LONG)).search("lactaion").collect()
     assert found and found[0].title == "lactation counselor program"
     assert "Typo-tolerant fuzzy match" in found[0].explanations
+
+
+COURSES = [
+    {"course_id": "a", "title": "Bleeding after birth", "aliases": ["PPH bundle", "Motive approach"], "description": "What to do", "language": "English"},
+    {"course_id": "b", "title": "Warmth", "tags": ["hypothermia"], "description": "Keep dry", "language": "English", "metadata": {"unit": "thermoregulation"}},
+    {"course_id": "c", "title": "Feeding", "transliterations": ["stanpan"], "synonyms": ["nursing"], "description": "Milk", "language": "Hindi"},
+    {"course_id": "d", "title": "Handling of tools", "description": "Bolts", "language": "English", "levels": ["nurse"], "competency_name": "maintenance"},
+]
+
+
+FIRST = {"motive approach": "a", "motiveapproach": "a", "motve aproach": "a", "hypothermia": "b", "thermoregulation": "b", "stanpan": "c", "nursing": "c", "maintenance": "d"}
+
+
+def test_search_by_every_column(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps(COURSES))
+    asked = spark.createDataFrame([(x, x) for x in FIRST], "query_id string, query string")
+    found = engine.SearchEngine(spark, load_json(spark, str(tmp_path / "c.json"))).search_batch(asked).where("rank = 1").collect()
+    assert {r.query_id: r.course_id for r in found} == FIRST
+
+
+def test_fuzzy_is_best_of_seven(spark):
+    rows = [("a", "bleeding after birth", ["pph bundle", "motive approach"]), ("b", "warmth", []), ("c", "care of newborn", ["newborn"])]
+    c = spark.createDataFrame(rows, "course_id string, title string, names array<string>")
+    asked = ["pphbundle", "motve", "bundle pph x", "warmt", "birth bleeding"]
+    q = spark.createDataFrame([(x, x, x.replace(" ", "")) for x in asked], "query_id string, normalized string, compacted string")
+    want = {}
+    for x in asked:
+        y = x.replace(" ", "")
+        for id, title, names in rows:
+            t = title.replace(" ", "")
+            seven = [S.indel(x, title), S.partial(x, title), S.indel(y, t), S.partial(y, t)]
+            for n in names:
+                m = n.replace(" ", "")
+                seven += [S.token_set(x, n), S.indel(y, m), S.partial(y, m)]
+            want[x, id] = round(max(seven), 4)
+    assert {(r.query_id, r.course_id): r.fuzzy for r in engine.fuzzy(c, q).collect()} == want
+
+
+def test_whole_repairs_without_spaces(spark):
+    qs = spark.createDataFrame([(0, "smallboltx"), (1, "smaltwidgt"), (2, "small bolt"), (3, "smalbl")], "query_id int, query string")
+    cs = spark.createDataFrame([("small bolt",), ("small widget",), ("large nut",)], "choice string")
+    got = {(r.query_id, r.choice) for r in repair.whole_repairs(qs, cs).collect()}
+    assert {(0, "small bolt"), (1, "small widget")} <= got and not {(2, "small bolt"), (3, "small bolt")} & got

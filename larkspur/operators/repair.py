@@ -8,6 +8,7 @@ a longer string or below 0.68: there every query meets every choice.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,3 +97,17 @@ def segment(text: str, lexicon: dict[str, str]) -> str | None:
         out.append(lexicon[text[i : ends[i]]])
         i = ends[i]
     return " ".join(out) if len(out) > 1 else None
+
+
+def segmented(queries: DataFrame, vocabulary: DataFrame, always: list[str]) -> DataFrame:
+    """query, segmented: each compact query cut by the vocabulary words that occur in it, and those of ``always``."""
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("query")), lambda i: F.expr("query").substr(i, F.length("query")))).alias("at", "tail")
+    tails = queries.where("query <> ''").select("query", at)
+    parts = tails.select("query", F.explode(F.transform(F.sequence(F.lit(1), F.length("tail")), lambda n: F.expr("tail").substr(F.lit(1), n))).alias("term")).distinct()
+    found = parts.join(vocabulary.select("term").distinct(), "term").groupBy("query").agg(F.collect_list("term").alias("words"))
+
+    @F.pandas_udf("string")
+    def cut(q: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([segment(x, {t: t for t in [*([] if w is None else w), *always]}) for x, w in zip(q, words, strict=True)], dtype=object)
+
+    return queries.join(found, "query", "left").select("query", cut("query", "words").alias("segmented"))

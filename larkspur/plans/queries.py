@@ -314,14 +314,9 @@ def repair_spacing(spark, sf):
 
 @query()
 def segment_compact(spark, sf):
-    words = {r.term: r.term for r in index.vocabulary(table(spark, sf, "part"), F.col("p_name")).limit(100_000).collect()} | {w: w for w in [*L.SEGMENTATION_HINTS, *L.STOPWORDS, *L.FILLERS]}
-    sent = spark.sparkContext.broadcast(words)  # at most 100,000 words
-
-    @F.pandas_udf("string")
-    def cut(s):
-        return s.map(lambda x: repair.segment(x, sent.value))
-
-    return table(spark, sf, "part").select("p_partkey", cut(X.compact(F.col("p_name"))).alias("segmented"))
+    p = table(spark, sf, "part").select("p_partkey", X.compact(F.col("p_name")).alias("query"))
+    cut = repair.segmented(p.select("query").distinct(), index.vocabulary(table(spark, sf, "part"), F.col("p_name")), [*L.SEGMENTATION_HINTS, *L.STOPWORDS, *L.FILLERS])
+    return p.join(cut, "query", "left").select("p_partkey", "segmented")
 
 
 # Filters, sorts, facets, groups, pages

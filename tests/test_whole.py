@@ -73,3 +73,10 @@ def test_whole_repairs_without_spaces(spark):
     cs = spark.createDataFrame([("small bolt",), ("small widget",), ("large nut",)], "choice string")
     got = {(r.query_id, r.choice) for r in repair.whole_repairs(qs, cs).collect()}
     assert {(0, "small bolt"), (1, "small widget")} <= got and not {(2, "small bolt"), (3, "small bolt")} & got
+
+
+def test_segmentation_has_no_cap(spark):
+    vocabulary = spark.range(150_000).selectExpr("concat('w', id, 'z') AS term").unionByName(spark.createDataFrame([("small",), ("widget",), ("bolt",)], "term string"))
+    asked = ["w149999zw0zsmall", "smallwidgetbolt", "smallwidgetqqq", "short", ""]
+    got = repair.segmented(spark.createDataFrame([(x,) for x in asked], "query string"), vocabulary, ["bolt"]).collect()
+    assert {r["query"]: r.segmented for r in got} == dict(zip(asked, ["w149999z w0z small", "small widget bolt", None, None, None], strict=True))

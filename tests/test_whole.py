@@ -1,12 +1,14 @@
 """Nothing is left out: fuzzy candidates against brute force over all pairs."""
 
 import json
+import math
 
 import pytest
 
 from larkspur.functions import similarity as S
 from larkspur.operators import repair
 from larkspur.plans import engine
+from larkspur.plans.queries import QUERIES
 from larkspur.sources.catalogue import load_json
 
 LONG = ["lactation counselor program", "advanced thunderbolts and their uses", "bolt", "bolted joints of large machines", "care of the newborn child", "child newborn care", "boltt boltt boltt", "xylophone", "care"]
@@ -80,3 +82,28 @@ def test_segmentation_has_no_cap(spark):
     asked = ["w149999zw0zsmall", "smallwidgetbolt", "smallwidgetqqq", "short", ""]
     got = repair.segmented(spark.createDataFrame([(x,) for x in asked], "query string"), vocabulary, ["bolt"]).collect()
     assert {r["query"]: r.segmented for r in got} == dict(zip(asked, ["w149999z w0z small", "small widget bolt", None, None, None], strict=True))
+
+
+def test_batch_uses_all_tokens(spark, tmp_path):
+    words = [f"wo{chr(97 + i)}" for i in range(12)]
+    docs = [(i, " ".join(words[(i * j * j + j) % 12] for j in range(6 + i % 5)), "en" if i % 2 else "de", "web") for i in range(30)]
+    asked = [(1, " ".join(words[:9])), (2, " ".join(words[4:] + words[:3] + words[9:]))]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = {i: t.split() for i, t, *_ in docs}
+    mean = sum(map(len, texts.values())) / 30
+    want = set()
+    for q, text in asked:
+        scores = {}
+        for i, t in texts.items():
+            for x in text.split():
+                if n := t.count(x):
+                    df = sum(x in u for u in texts.values())
+                    scores[i] = scores.get(i, 0) + math.log(1 + (30 - df + 0.5) / (df + 0.5)) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(t) / mean))
+        best = sorted(scores, key=lambda i: (-round(scores[i], 4), i))[:10]
+        want |= {(q, i, round(scores[i], 4), r) for r, i in enumerate(best, 1)}
+    assert {tuple(r) for r in QUERIES["bm25_batch_all_tokens"](spark, str(tmp_path)).collect()} == want
+    tags = {i: tag for i, _, tag, _ in docs}
+    hits = [(tags[i], r) for _, i, _, r in want if r <= 3]
+    got = {r.tag: (r.hits, r.top1) for r in QUERIES["eval_topk_by_tag_all_tokens"](spark, str(tmp_path)).collect()}
+    assert got == {t: (sum(t == u for u, _ in hits), sum(t == u and r == 1 for u, r in hits)) for t in {t for t, _ in hits}}

@@ -39,6 +39,7 @@ def size_of(docs: DataFrame, text: str) -> int:
 
 def release() -> None:
     """Gives freed memory back to the system, as Spark keeps idle Python workers."""
+    K.forget()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
@@ -57,6 +58,19 @@ def releasing(f: Callable) -> Callable:
     return work
 
 
+def releasing_both(f: Callable) -> Callable:
+    """The same for a function of two groups."""
+
+    @functools.wraps(f)
+    def work(t: pa.Table, other: pa.Table) -> pa.Table:
+        try:
+            return f(t, other)
+        finally:
+            release()
+
+    return work
+
+
 def streaming(f: Callable) -> Callable:
     """The same for a function of a task's batches, after the last one."""
 

@@ -21,6 +21,7 @@ from heapq import heappop, heappush
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,7 +59,8 @@ class Encoder:
         self.buckets: dict[int, list[int]] = {}
         self.low = [0] * ((size >> 6) + 1)
         self.mid = [0] * ((size >> 12) + 1)
-        self.encode_bytes = ChunkEncoder(pattern, self._pretoken)
+        self.find = regex.compile(pattern).findall
+        self.chunks = ChunkEncoder(lambda words: [b"".join(map(self._pretoken, self.find(x))) for x in words])
 
     def _pretoken(self, text: str) -> bytes:
         data = text.encode()
@@ -128,7 +130,7 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
+        return self.chunks.of_text(text).tolist()
 
 
 class Decoder:
@@ -175,11 +177,8 @@ def _sent(spark: SparkSession, path: str):
 
 def _encoding(sent, pattern: str, text: str, ids: str) -> Step:
     def step(b: pa.RecordBatch) -> pa.RecordBatch:
-        encode = built(Encoder, sent.value, pattern).encode_bytes
-        found = [encode(x or "") for x in b.column(b.schema.get_field_index(text)).to_pylist()]
-        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-        flat = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
-        return _with(b, ids, pa.ListArray.from_arrays(pa.array(at), flat))
+        flat, at = built(Encoder, sent.value, pattern).chunks(*K.text_buffer(b.column(b.schema.get_field_index(text))))
+        return _with(b, ids, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view("<i4"))))
 
     return step
 
@@ -203,8 +202,11 @@ def _mapped(df: DataFrame, schema: T.StructType, text: str | None, *steps: Step)
             for step in steps:
                 b = step(b)
             yield b.select(schema.fieldNames())
+        for kept in _built.values():
+            if isinstance(kept, Encoder):
+                kept.chunks.forget()
 
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(B.streaming(work), schema)
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -331,11 +331,10 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN)
     return both.mapInArrow(B.streaming(work), "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs, and n_shingles and component_id, the smallest id that links lead to."""
-    fields = [f for f in docs.schema.fields if f.name not in ("n_shingles", "component_id")]
-    only = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    total = B.size_of(docs, text)
+def labelled(only: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, bool]:
+    """A row for each of ``only`` (id, text): id, n_shingles, component_id, cls and root (the component's name
+    among classes); and whether rows with one id differ in their sets."""
+    total = B.size_of(only, "text")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in B.rebatched(batches, "text"):
@@ -410,31 +409,56 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id",
 
     of = classes.join(every, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     name = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = of.join(name, "root").select(F.col("cls").alias("c"), "component_id")
-    result = rows.join(named, F.col("cls") == F.col("c"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "cls")
-    if [f.name for f in fields] == [id]:
-        return result.select(F.col("id").alias(id), "n_shingles", "component_id")
+    named = of.join(name, "root").select(F.col("cls").alias("c"), "component_id", "root")
+    result = rows.join(named, F.col("cls") == F.col("c"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "cls", "root")
+    return result, bool(repeated_ids)
+
+
+def boxed(docs: DataFrame, id: str, text: str, size: int, with_class: bool) -> DataFrame:
+    """id, row (all columns as one struct, so that no name of theirs clashes) and, if asked for, the class."""
+    names = docs.columns
+    one = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    if not with_class:
+        return one
 
-    # Other columns come back by id; rows that share an id are told apart by their class.
-    def own_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in B.rebatched(batches, text):
-            sets = shingle_sets(b.column(b.schema.get_field_index(text)), size)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([class_of(s) for s in sets], pa.int64())], names=[*b.schema.names, "own_class__"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets(b.column(1).field(names.index(text)).cast(pa.string()), size)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([class_of(s) for s in sets], pa.int64())], names=["id", "row", "cls"])
 
-    labels = result.groupBy(F.col("id").alias("id__"), F.col("cls").alias("cls__")).agg(F.first("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    rest = docs.select([f.name for f in fields]).mapInArrow(own_class, T.StructType([*fields, T.StructField("own_class__", T.LongType())]))
-    joined = rest.join(labels, F.col(f"`{id}`").eqNullSafe(F.col("id__")) & (F.col("own_class__") == F.col("cls__")))
-    return joined.select(*[F.col(f"`{f.name}`") for f in fields], "n_shingles", "component_id")
+    return one.mapInArrow(B.streaming(work), T.StructType([*one.schema.fields, T.StructField("cls", T.LongType())]))
 
 
-def deduplicated(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """docs with one document of each component: that of the smallest id, and of rows with this id one."""
-    out = jaccard_components(docs, size).where("doc_id is null or doc_id = component_id")
-    first = out.where("n_shingles > 0 and doc_id is not null").withColumn("k", F.xxhash64(*docs.columns)).groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "k").alias("r")).select("r.*")
-    return first.unionByName(out.where("n_shingles = 0 or doc_id is null").select(docs.columns))
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of docs, and n_shingles and component_id, the smallest id that links lead to."""
+    only = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    result, differ = labelled(only, size)
+    # Columns come back by id; rows that share an id but not their set are told apart by their class.
+    labels = result.groupBy(F.col("id").alias("i"), F.col("cls").alias("c")).agg(F.first("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    same = F.col("id").eqNullSafe(F.col("i"))
+    joined = boxed(docs, id, text, size, differ).join(labels, same & (F.col("cls") == F.col("c")) if differ else same)
+    kept = [f for f in docs.columns if f not in ("n_shingles", "component_id")]
+    return joined.select(*[F.col("row").getField(f).alias(f) for f in kept], "n_shingles", "component_id")
+
+
+def deduplicated(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: one with its smallest id (null only if all are), and of such rows the
+    one of least class, then of least hash. Rows with an empty set have no copies and all stay."""
+    only = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    result, differ = labelled(only, size)
+    first = result.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "cls")).alias("m")).select(F.col("m.id").alias("i"), F.col("m.cls").alias("c"))
+    repeats = result.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count()
+    if not repeats:  # then an id is a row
+        gone = B.checkpointed(result.where("n_shingles > 0").select("id").join(first.select("i"), F.col("id").eqNullSafe(F.col("i")), "left_anti").withColumnRenamed("id", "gone__"))
+        few = gone.count() <= BROADCAST_IDS
+        return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id}`").cast("long").eqNullSafe(F.col("gone__")), "left_anti")
+    rows = boxed(docs, id, text, size, True)
+    kept = rows.where("cls <> 0").join(first, F.col("id").eqNullSafe(F.col("i")) & (F.col("cls") == F.col("c")), "left_semi")
+    one = kept.groupBy("id", "cls").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return one.unionByName(rows.where("cls = 0").select("row")).select("row.*")
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = jaccard_components(docs)
-    return out.select("doc_id", "n_shingles", "component_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out, _ = labelled(docs.select(F.col("doc_id").alias("id"), "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

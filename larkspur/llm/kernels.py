@@ -40,6 +40,11 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def forget() -> None:
+    """Drops the powers that a long sequence asked for; the next one makes them anew."""
+    _powers.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every input bit over the whole word."""
     x = np.asarray(x, dtype=U64)

@@ -229,7 +229,7 @@ def sniff_media(df: DataFrame, media: str = "media", declared: str | None = None
                 found.append([{"type": k, "start": s, "end": e, "bytes": x[s:e] if carve else None} for k, s, e in hits])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(types, pa.string()), pa.array(wrong, pa.bool_()), pa.array(found, kind)], names=[*names, "media_type", "mismatch", "found"])
 
-    return df.select(names).mapInArrow(work, schema)
+    return df.select(names).mapInArrow(B.streaming(work), schema)
 
 
 def stored_texts(docs: DataFrame, unit: int = 64, text: str = "text") -> DataFrame:
@@ -243,7 +243,7 @@ def stored_texts(docs: DataFrame, unit: int = 64, text: str = "text") -> DataFra
             media = [as_wave(x + b"\0" * (-len(x) % unit if x else unit)) for x in raw]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(x)) for x in names), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=[*names, "n_bytes", "media"])
 
-    return docs.mapInArrow(work, T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
+    return docs.mapInArrow(B.streaming(work), T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 
 
 def sample_features(df: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def sample_features(df: DataFrame) -> DataFrame:
                 features.append(f"audio/wav {struct.unpack_from('<I', wave, 24)[0]} Hz n={len(x)} sum={int(x.sum(dtype=np.int64))} peak={int(x.max(initial=0))} crossings={crossings}")
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(payloads, pa.binary()), pa.array(features, pa.string())], names=[*names, "payload", "feature"])
 
-    return df.mapInArrow(work, T.StructType([*fields, T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType())]))
+    return df.mapInArrow(B.streaming(work), T.StructType([*fields, T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType())]))
 
 
 def op2_media_columns(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """Operator 3, best-fit packing of token sequences, by hierarchical residual packing.
 
-Each partition packs its pieces best-fit, longest first, into bins of the capacity and emits
-those that are nearly full. The underfull bins become items: groups of partitions merge theirs
-by best-fit again, round after round, in a tree whose nodes take a bounded number of bins,
-until one node is left or merging can't go on within that bound. A bin is found by its free
+Pieces are dealt to partitions whatever their size. Each partition packs its pieces best-fit, longest first, into bins of the capacity and emits
+those that are nearly full. The underfull bins become items, dealt anew to the nodes of the next
+level, of which there are as many as a bounded number of bins a node asks for; they merge by
+best-fit again, round after round, until one node has taken all that were left, or, where more
+are left than a node takes, a round no longer lowers their number. A bin is found by its free
 space in a bitmap, so an item costs O(1).
 
+Ids are those of the tokenizer's plain call without special tokens at the ends; a string of an
+added token inside a text is that token, as the call has it.
+
 Defined results: a null text is empty, so it has the end id alone; a text that fits is never
 cut; one that doesn't becomes pieces of the capacity, the first one taking the rest; repeated
 rows are separate pieces; null ids are ordinary values; an empty table gives an empty table.
@@ -14,6 +18,7 @@ rows are separate pieces; null ids are ordinary values; an empty table gives an
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm import blocks as B
+from larkspur.llm import kernels as K
 from larkspur.llm.chunks import ChunkEncoder
 
 CAPACITY = 2048
@@ -32,6 +38,11 @@ NEARLY = 16
 #: Items that a leaf packs at once, and bins that a node of the tree takes.
 LEAF_ITEMS = 100_000
 NODE_BINS = 16_384
+#: The rounds end when one leaves more than this share of its underfull bins.
+ROUND_LEFT = 0.999
+#: Bytes of text that a worker encodes at once, and pieces that it sends at once.
+BATCH_BYTES = 8 << 20
+PIECES = 4096
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,18 +115,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
 
         return work
 
-    level, done = 0, []
-    now = B.checkpointed(pieces.mapInArrow(leaf, schema))
+    level, done, before = 0, [], None
+    # Dealt round-robin, for a partition of long pieces would miss the short ones of another.
+    now = B.checkpointed(pieces.repartition(B.width(pieces.sparkSession)).mapInArrow(B.streaming(leaf), schema))
     while True:
         open_ = now.where(F.col("used") <= capacity - NEARLY)
         bins, nodes = open_.agg(F.count("*"), F.countDistinct("node")).first()
-        fewer = max(1, math.ceil(bins / NODE_BINS))
-        if nodes <= 1 or fewer > nodes // 2:
+        if nodes <= 1 or (before is not None and bins > ROUND_LEFT * before):
             done.append(now)
             break
-        level += 1
+        # Bins are dealt anew by hash, so that each node has sizes of every kind.
+        level, before = level + 1, bins
+        fewer = max(1, math.ceil(bins / NODE_BINS))
         done.append(now.where(F.col("used") > capacity - NEARLY))
-        now = B.checkpointed(open_.withColumn("node", F.pmod("node", F.lit(fewer))).groupBy("node").applyInArrow(merged(level), schema))
+        now = B.checkpointed(open_.withColumn("node", F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(fewer))).groupBy("node").applyInArrow(B.releasing(merged(level)), schema))
     every = done[0]
     for x in done[1:]:
         every = every.unionByName(x)
@@ -136,44 +149,74 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     return every.select("bin", "items").mapInArrow(placed, T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
-_tokenizers: dict[int, ChunkEncoder] = {}
+_tokenizers: dict[int, Ids] = {}
 
 
-def _ids(source: str, pattern: str) -> ChunkEncoder:
-    """Text to its ids by the tokenizer, one for each worker; the tokenizer gets each pre-token once."""
-    key = hash((source, pattern))
-    if key not in _tokenizers:
+class Ids:
+    """Texts to the ids that the tokenizer's plain call gives, one for each worker.
+
+    Texts that hold a string of the tokenizer's added tokens are encoded as they are, all others
+    by their chunks.
+    """
+
+    def __init__(self, source: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_str(source)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tokenizers[key] = ChunkEncoder(pattern, lambda x: np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes())
+        self.tokenizer = t = Tokenizer.from_str(source)
+        self.added = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
+        self.chunks = ChunkEncoder(lambda words: [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)])
+
+    def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data = buf.tobytes()
+        if not any(x in data for x in self.added):
+            return self.chunks(buf, offsets)
+        parts = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            one = data[a:b]
+            whole = any(x in one for x in self.added)
+            parts.append(np.array(self.tokenizer.encode(one.decode(), add_special_tokens=False).ids, dtype="<u4") if whole else self.chunks(buf[a:b], np.array([0, b - a]))[0])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
+def _ids(source: str) -> Ids:
+    key = hash(source)
+    if key not in _tokenizers:
+        _tokenizers[key] = Ids(source)
     return _tokenizers[key]
 
 
-def token_pieces(docs: DataFrame, path: str, pattern: str, end: int = 0, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, piece, start, length and ids (little-endian 32-bit) of each document's pieces.
+def cut_up(n: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of the pieces of documents of n ids; all but the first are full."""
+    count = -(-n // capacity)
+    doc = np.repeat(np.arange(len(n)), count)
+    piece = K.ranges(np.zeros(len(n), dtype=np.int64), count)
+    first = (n - (count - 1) * capacity)[doc]
+    return doc, piece, np.where(piece == 0, 0, first + (piece - 1) * capacity), np.where(piece == 0, first, capacity)
 
-    ``pattern`` is the pre-tokenizer's own, by which texts are cut before the tokenizer gets them.
-    """
+
+def token_pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, piece, start, length and ids (little-endian 32-bit) of each document's pieces."""
     with open(path, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    last = np.array([end], dtype="<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ids(sent.value, pattern)
-        for b in B.rebatched(batches, "text"):
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(x or "") + last
-                n = len(ids) // 4
-                at = (n % capacity or capacity) if n > capacity else n
-                for p, (s, e) in enumerate([(0, at), *((s, s + capacity) for s in range(at, n, capacity))]):
-                    for column, v in zip(rows, (i, p, s, e - s, ids[4 * s : 4 * e]), strict=True):
-                        column.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["id", "piece", "start", "length", "ids"])
-        encode.forget()
+        encode = _ids(sent.value)
+        for b in B.rebatched(batches, "text", BATCH_BYTES):
+            found, at = encode(*K.text_buffer(b.column(1)))
+            n = np.diff(at) + 1
+            base = np.cumsum(n) - n
+            ids = np.full(int(n.sum()), end, dtype="<u4")
+            ids[K.ranges(base, n - 1)] = found
+            doc, piece, start, length = cut_up(n, capacity)
+            whole = [b.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length)]
+            for i in range(0, len(doc), PIECES):  # of bounded size, whatever a text's length
+                j = min(i + PIECES, len(doc))
+                lo, hi = int(base[doc[i]] + start[i]), int(base[doc[j - 1]] + start[j - 1] + length[j - 1])
+                bounds = np.append(base[doc[i:j]] + start[i:j], hi) - lo
+                data = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(ids[lo:hi].copy())])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in whole), data], names=["id", "piece", "start", "length", "ids"])
+        encode.chunks.forget()
 
     only = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     return only.mapInArrow(B.streaming(work), "id long, piece int, start long, length long, ids binary").withColumnRenamed("id", id)
@@ -182,7 +225,7 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, end: int = 0, capacit
 def packed_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers as P
 
-    pieces = token_pieces(docs, P.path("byte_bpe_50k.json"), P.PATTERN)
+    pieces = token_pieces(docs, P.path("byte_bpe_50k.json"))
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 

@@ -89,7 +89,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             x = statistics_of(b.column(names.index(text)))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), *(pa.array(x[:, j]) for j in range(x.shape[1]))], names=[*names, *STATISTICS])
 
-    return docs.select(names).mapInArrow(work, T.StructType([*fields, *(T.StructField(s, T.DoubleType()) for s in STATISTICS)]))
+    return docs.select(names).mapInArrow(B.streaming(work), T.StructType([*fields, *(T.StructField(s, T.DoubleType()) for s in STATISTICS)]))
 
 
 #: A rule: (statistic, True for "at most" or False for "above", threshold) of each condition.

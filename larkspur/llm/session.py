@@ -1,4 +1,4 @@
-"""Makes the package importable on the Python workers of a session."""
+"""Prepares a session: the package on its Python workers, and Arrow batches of a bounded size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+ARROW_BYTES = "4m"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -16,4 +17,6 @@ def ready(spark: SparkSession) -> SparkSession:
     path = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
+    # Batches to and from Python by bytes, as texts may be long; 10,000 rows of them are too much at once.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark

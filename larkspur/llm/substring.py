@@ -72,7 +72,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id: str = "doc_id", text:
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("rest", B.struct_type(docs_b)), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("text", T.StringType())])
-    out = docs_b.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(finish, schema)
+    out = docs_b.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(B.releasing_both(finish), schema)
     return B.unwrapped(out, docs, id, text, OUTPUT)
 
 

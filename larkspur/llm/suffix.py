@@ -221,8 +221,8 @@ def suffix_dedup(docs: DataFrame, match: int = MATCH, id: str = "doc_id", text:
     docs_b = B.blocked(docs, id, text, B.n_blocks(total, block_bytes))
     again = B.repeated_hashes(docs_b, lambda t: minimizers(t, match, gram), max(16, math.ceil(total / 4 / (24 << 20))))
     buckets = max(64, math.ceil(total / SEGMENT_BUCKET_BYTES))
-    parts = docs_b.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(lambda t, back: candidates(t, back, match, gram, buckets), SEGMENTS)
-    gone = parts.groupBy("bucket").applyInArrow(lambda t: resolved(t, match), REMOVED)
+    parts = docs_b.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(B.releasing_both(lambda t, back: candidates(t, back, match, gram, buckets)), SEGMENTS)
+    gone = parts.groupBy("bucket").applyInArrow(B.releasing(lambda t: resolved(t, match)), REMOVED)
 
     def finish(t: pa.Table, back: pa.Table) -> pa.Table:
         t = B.in_order(t)
@@ -241,7 +241,7 @@ def suffix_dedup(docs: DataFrame, match: int = MATCH, id: str = "doc_id", text:
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("rest", B.struct_type(docs_b)), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("text", T.BinaryType())])
-    out = docs_b.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(finish, schema)
+    out = docs_b.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(B.releasing_both(finish), schema)
     return B.unwrapped(out, docs, id, text, OUTPUT)
 
 

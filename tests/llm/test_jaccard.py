@@ -100,6 +100,18 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id for r in deduplicated(some).collect()) == [1, 3, 4]
 
 
+def test_one_of_each_component(spark):
+    """Repeated ids, null ids, and the user's columns of any name."""
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, long, 7, "p", 0.5, 3), (1, "quite another text of some words", 8, "p", 0.5, 3), (2, long + " z", 9, "p", 0.5, 3), (None, long, 1, "p", 0.5, 3), (None, "only this one has no id", 2, "p", 0.5, 3), (4, "", 3, "p", 0.5, 3), (4, None, 3, "p", 0.5, 3)]
+    df = spark.createDataFrame(rows + [rows[0], rows[4]], "doc_id long, text string, k int, spans string, score double, n_shingles int")
+    got = sorted(map(tuple, deduplicated(df).collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[4], rows[5], rows[6]], key=str) and deduplicated(df).schema == df.schema
+    once = df.where("doc_id is not null and k <> 8 and text <> ''").distinct()
+    assert [r.doc_id for r in deduplicated(once).collect()] == [1] and deduplicated(once).schema == df.schema
+    assert deduplicated(df.limit(0)).count() == 0
+
+
 def test_op7(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

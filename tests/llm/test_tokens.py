@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from larkspur.llm import packing
 from larkspur.llm.bpe import Decoder, Encoder, bpe_decode, bpe_encode, op8_bpe
-from larkspur.llm.chunks import chunks
+from larkspur.llm.chunks import cuts
 from larkspur.llm.packing import best_fit, op3_best_fit_packing, pack, token_pieces
 
 LINES = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
@@ -23,17 +23,20 @@ RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, LINES.splitlin
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 OURS, DECODER = Encoder(LINES, P.PATTERN), Decoder(LINES)
 HF = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-HF.encode_special_tokens = True
-ODD = ["", " ", "  ", "a  b", "a   b\n\n c ", "\n \n x", "x  y　 z", " \x1c a", "don't <|endoftext|> we'll", "日本語 テキスト", "é" * 300, "ab" * 3000, "x" * 5000 + " tail ", "1 22  333\t4444 ", " lead", "é \U0001f600\U0001f600"]
+IDS = packing.Ids(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
+ODD = ["", " ", "  ", "a  b", "a   b\n\n c ", "\n \n x", "x  y　 z", " \x1c a", "don't <|endoftext|> we'll", "<|endoftext|><|endoftext|>x", "a.'s b,'sun ''t x'll've 1a,2", "wordé,c'd", "日本語 テキスト", "é" * 300, "ab" * 3000, "x" * 5000 + " tail ", "1 22  333\t4444 ", " lead", "é \U0001f600\U0001f600"]
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t a1.'s\x1c"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_like_the_libraries(text):
-    assert "".join(chunks(text)) == text
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    at = cuts(data, np.array([0, len(data)])).tolist()
+    chunks = [data[a:b].tobytes().decode() for a, b in zip(at, at[1:], strict=False)]
+    assert "".join(chunks) == text
     assert OURS.encode(text) == LIBRARY.encode_ordinary(text)
     assert DECODER.decode(np.array(OURS.encode(text), dtype=np.int64), 7)[0] == text.encode()
-    assert [i for c in chunks(text) for i in HF.encode(c, add_special_tokens=False).ids] == HF.encode(text, add_special_tokens=False).ids
+    assert IDS(data, np.array([0, len(data)]))[0].tolist() == HF.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -102,6 +105,33 @@ def test_tree_of_rounds(spark, monkeypatch):
 
 def test_packing_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (1, None), (None, "")], "doc_id long, text string")
-    rows = pack(token_pieces(df, P.path("byte_bpe_50k.json"), P.PATTERN)).collect()
+    rows = pack(token_pieces(df, P.path("byte_bpe_50k.json"))).collect()
     assert sorted((r.offset, r.length, len({x.sequence_id for x in rows})) for r in rows) == [(0, 1, 1), (1, 1, 1), (2, 1, 1)]
-    assert pack(token_pieces(df.limit(0), P.path("byte_bpe_50k.json"), P.PATTERN)).count() == 0
+    assert pack(token_pieces(df.limit(0), P.path("byte_bpe_50k.json"))).count() == 0
+
+
+def test_batches_of_documents():
+    """Documents of one batch don't run into each other, and kept chunks pass through both generations."""
+    r = random.Random(1)
+    texts = [" ".join(r.choices(["a", "bc", "d,", "x'll", " ", "é", "\n"], k=r.randint(0, 30))) for _ in range(300)] + ODD
+    data = [x.encode() for x in texts]
+    buf, offsets = np.frombuffer(b"".join(data), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    for encode in (IDS, packing.Ids(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())):
+        encode.chunks.most = 5
+        ids, at = encode(buf, offsets)
+        for x, a, b in zip(texts, at[:-1], at[1:], strict=True):
+            assert ids[a:b].tolist() == HF.encode(x, add_special_tokens=False).ids
+
+
+def test_unlike_partitions(spark, monkeypatch):
+    """Long items in some partitions and short ones in others meet, whatever the number of nodes."""
+    monkeypatch.setattr(packing, "NODE_BINS", 40)
+    df = spark.range(2000, numPartitions=8).selectExpr("id as x", "if(id < 1000, 1500L, 500L) as length")
+    assert whole(pack(df).collect())[0] <= len(best_fit(np.array([1500] * 1000 + [500] * 1000), 2048)[1]) * 1.01
+
+
+def test_long_text(spark):
+    text = "word, 12 " * 40_000 + "x" * 30_000
+    rows = sorted(token_pieces(spark.createDataFrame([(1, text), (2, "a")], "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect(), key=lambda r: (r.doc_id, r.piece))
+    ids = np.concatenate([np.frombuffer(r.ids, dtype="<u4") for r in rows if r.doc_id == 1]).tolist()
+    assert ids == HF.encode(text, add_special_tokens=False).ids + [0] and len(rows) == -(-len(ids) // 2048) + 1

@@ -194,7 +194,7 @@ def lasso_logistic(a: np.ndarray, y: np.ndarray, lasso: float, rounds: int = 400
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS) -> RuleModel:
     """``labels`` has (id, label 0 or 1); rows that must not be learnt from are to be left out of it."""
     rows = sample(docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), labels.select(F.col(id).alias("doc_id"), F.col(label).alias(label)), label, max_docs)
-    seen = with_statistics(rows).select("doc_id", "label", *STATISTICS).toPandas().sort_values(["doc_id", *STATISTICS])  # at most max_docs rows of numbers
+    seen = with_statistics(rows).select("label", *STATISTICS).toPandas().sort_values(["label", *STATISTICS])  # at most max_docs rows of numbers
     return fit_rules(seen[STATISTICS].to_numpy(), seen["label"].to_numpy().astype(float))
 
 

@@ -1,18 +1,18 @@
 """Operator 6, toxicity: maximum-scoring segments over token log-odds.
 
-Fitting counts, in labelled documents, how many of either class hold each token; beginnings of
-5 and 7 bytes count as tokens of their own, for what a word begins with may tell more than rare
-whole words, and a word has the largest score of the three. A token's
-score is its log-odds ratio under an informative Dirichlet prior (the pooled share of the
-token); tokens whose ratio isn't significant get one small negative score, so that a segment's
-expected score on clean text is negative. A linear-time scan then finds every maximal scoring
-segment. Under that condition the best segment of n clean tokens follows an extreme-value law
-with a decay ``lam`` that solves sum p * exp(lam * score) = 1, so a segment of score S is
-expected n * exp(-lam * S) times by chance; the score of a document is a logistic function of
-the logarithm of that number, fitted on the same labelled documents.
-
-Fitting uses at most ``max_docs`` labelled documents and keeps at most ``max_tokens`` tokens;
-scoring covers every whole text.
+Fitting counts, in labelled documents (equal texts once), how many of either class hold each
+token; beginnings of 5 and 7 bytes count as tokens of their own, for what a word begins with may
+tell more than rare whole words. A token's score is its log-odds ratio under an informative
+Dirichlet prior (the pooled share of the token), brought towards 0 by some standard errors; it may
+be of either sign, and tokens of fewer than some documents have 0. A word has that of its three
+scores which is largest in size, less a drift that makes the expected score on clean text negative.
+A linear-time scan then finds every maximal scoring segment. Under that condition the best segment
+of n clean tokens follows an extreme-value law with a decay ``lam`` that solves
+sum p * exp(lam * score) = 1 over the words of clean text, so a segment of score S is expected
+n * exp(-lam * S) times by chance; the score of a document is a logistic function of the logarithm
+of that number, fitted on the same labelled documents.
+
+Fitting uses at most ``max_docs`` labelled documents; scoring covers every whole text.
 
 Defined results: a null or empty text scores as the best segment 0 of no tokens, without
 passages; repeated rows score alike; with no labelled rows, or one class only, every score is
@@ -36,12 +36,15 @@ from larkspur.llm import kernels as K
 from larkspur.llm.labelled import fold, logistic, sample
 
 MAX_DOCS = 30_000
-MAX_TOKENS = 50_000
 #: Bytes of a word that count; 0: all.
 BEGINNINGS = (0, 5, 7)
 PRIOR = 20.0
-LEAST_Z = 4.0
-DEFAULT = -0.05
+#: Documents that a token needs to have a score of its own, standard errors taken off, and the largest size.
+LEAST_DOCS = 4
+ERRORS = 2.5
+MOST = 8.0
+#: The mean score of clean words is at least so far below 0.
+DRIFT = 0.1
 PASSAGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())]))
 
 
@@ -49,6 +52,7 @@ PASSAGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.
 class Model:
     tokens: np.ndarray  # sorted hashes
     scores: np.ndarray
+    drift: float
     lam: float
     weights: np.ndarray  # of the logistic function
 
@@ -71,13 +75,14 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_scores(hashes: np.ndarray, model: Model) -> np.ndarray:
-    out = np.full(hashes.shape, DEFAULT)
+    """The score of each word, from a row of hashes for each of BEGINNINGS."""
+    out = np.zeros(hashes.shape)
     if len(model.tokens):
         at = np.searchsorted(model.tokens, hashes)
         at[at == len(model.tokens)] = 0
         hit = model.tokens[at] == hashes
         out[hit] = model.scores[at[hit]]
-    return out.max(axis=0)
+    return np.take_along_axis(out, np.abs(out).argmax(axis=0)[None], axis=0)[0] - model.drift
 
 
 def best_segment(s: np.ndarray) -> float:
@@ -105,13 +110,12 @@ def maximal_segments(s: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, hi - lo) for a, b, lo, hi in out]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS, max_tokens: int = MAX_TOKENS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS) -> Model:
     """``labels`` has (id, label 0 or 1); rows that must not be learnt from are to be left out of it."""
     rows = sample(docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), labels.select(F.col(id).alias("doc_id"), F.col(label).alias(label)), label, max_docs)
-    rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in B.rebatched(batches, "text", 16 << 20):
+        for b in B.rebatched(batches, "text"):
             h, at = tokens(b.column(0))
             y = b.column(1).to_numpy()
             doc = np.tile(np.repeat(np.arange(len(y)), np.diff(at)), len(h))
@@ -121,27 +125,36 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc
             first = np.ones(len(h), dtype=bool)
             first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
             token, where = np.unique(h, return_inverse=True)
-            n = [np.bincount(where[m], minlength=len(token)) for m in (first & (y[doc] == 0), first & (y[doc] == 1), y[doc] == 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in n)], names=["token", "y0", "y1", "seen"])
+            n = [np.bincount(where[m], minlength=len(token)) for m in (first & (y[doc] == 0), first & (y[doc] == 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in n)], names=["token", "y0", "y1"])
 
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, np.array([0.0 if not n0 + n1 else (30.0 if n1 else -30.0), 0.0]))
-    counts = rows.mapInArrow(count, "token long, y0 long, y1 long, seen long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("y0", "y1", "seen")))
-    prior = F.col("y0") + F.col("y1")
-    counts = counts.withColumn("a", F.lit(PRIOR) * prior / F.lit(n0 + n1))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), DRIFT, 1.0, np.array([0.0 if not n0 + n1 else (30.0 if n1 else -30.0), 0.0]))
+    counts = rows.mapInArrow(B.streaming(count), "token long, y0 long, y1 long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("y0", "y1")))
+    both = F.col("y0") + F.col("y1")
+    counts = counts.where(both >= LEAST_DOCS).withColumn("a", F.lit(PRIOR) * both / F.lit(n0 + n1))
     odds = lambda y, m: F.log((F.col(y) + F.col("a")) / (F.lit(m + PRIOR + 0.5) - F.col(y) - F.col("a")))
     counts = counts.withColumn("d", odds("y1", n1) - odds("y0", n0))
-    counts = counts.withColumn("z", F.col("d") / F.sqrt(1 / (F.col("y1") + F.col("a")) + 1 / (F.col("y0") + F.col("a"))))
-    total = counts.agg(F.sum("seen")).first()[0] or 0
-    top = counts.where((prior >= 4) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "token").limit(max_tokens).select("token", "d", "seen").collect()
-    top.sort(key=lambda r: np.array(r["token"], dtype=np.int64).view(np.uint64))
-    hashes = np.array([r["token"] for r in top], dtype=np.int64).view(np.uint64)
-    scores = np.clip(np.array([r["d"] for r in top], dtype=np.float64), 0.1, 8.0)
-    share = np.array([r["seen"] for r in top], dtype=np.float64) / max(total, 1)
-    lam = decay(scores, share)
-    model = Model(hashes, scores, lam, np.zeros(2))
+    error = F.sqrt(1 / (F.col("y1") + F.col("a")) + 1 / (F.col("y0") + F.col("a")))
+    shrunk = F.signum("d") * F.least(F.abs("d") - ERRORS * error, F.lit(MOST))
+    # As many rows as the bounded sample has tokens of LEAST_DOCS documents that tell something.
+    known = counts.where(F.abs("d") > ERRORS * error).select("token", shrunk.alias("s")).collect()
+    known.sort(key=lambda r: np.array(r["token"], dtype=np.int64).view(np.uint64))
+    model = Model(np.array([r["token"] for r in known], dtype=np.int64).view(np.uint64), np.array([r["s"] for r in known], dtype=np.float64), 0.0, 1.0, np.zeros(2))
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in B.rebatched(batches, "text"):
+            v, c = np.unique(np.rint(token_scores(tokens(b.column(0))[0], model) * 1000).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(c.astype(np.int64))], names=["v", "c"])
+
+    # Thousandths from -MOST to MOST: a bounded number of rows.
+    clean = rows.where("label = 0").mapInArrow(B.streaming(histogram), "v long, c long").groupBy("v").agg(F.sum("c").alias("c")).orderBy("v").collect()
+    v, c = np.array([r["v"] for r in clean]) / 1000.0, np.array([r["c"] for r in clean], dtype=np.float64)
+    share = c / max(c.sum(), 1.0)
+    model.drift = DRIFT + max(0.0, float((v * share).sum()))
+    model.lam = decay(v - model.drift, share)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in B.rebatched(batches, "text"):
@@ -150,17 +163,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc
             best = [best_segment(s[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(np.diff(at)), b.column(1)], names=["best", "n", "label"])
 
-    seen = rows.mapInArrow(measure, "best double, n long, label int").toPandas()  # at most max_docs rows of three numbers
-    x = evidence(lam, seen["best"].to_numpy(), seen["n"].to_numpy())
+    # At most max_docs rows of three numbers; in order, so that the fit is the same in every run.
+    seen = rows.mapInArrow(B.streaming(measure), "best double, n long, label int").toPandas().sort_values(["best", "n", "label"])
+    x = evidence(model.lam, seen["best"].to_numpy(), seen["n"].to_numpy())
     model.weights = logistic(x[:, None], seen["label"].to_numpy().astype(float))
     return model
 
 
 def decay(scores: np.ndarray, share: np.ndarray) -> float:
     """The positive root of sum p * exp(lam * score) = 1, by bisection; 1 where no score is positive or the mean isn't negative."""
-    rest = 1 - share.sum()
-    f = lambda x: float((share * np.exp(x * scores)).sum() + rest * np.exp(x * DEFAULT) - 1)
-    if not len(scores) or not (share > 0).any() or (share * scores).sum() + rest * DEFAULT >= 0:
+    f = lambda x: float((share * np.exp(x * scores)).sum() - 1)
+    if not (scores[share > 0] > 0).any() or (share * scores).sum() >= 0:
         return 1.0
     lo, hi = 1e-6, 1.0
     while f(hi) < 0 and hi < 64:
@@ -176,7 +189,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", significan
     fields = [f for f in docs.schema.fields if f.name not in ("score", "passages")]
     names = [f.name for f in fields]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_tokens
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -195,7 +208,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", significan
                 found.append(spans)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(m.probability(best, n)), pa.array(found, kind)], names=[*names, "score", "passages"])
 
-    return docs.select(names).mapInArrow(work, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("passages", PASSAGES)]))
+    return docs.select(names).mapInArrow(B.streaming(work), T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("passages", PASSAGES)]))
 
 
 def trained(spark, sf_dir: str, held: int = 0) -> Model:

@@ -1,13 +1,19 @@
 """Operators 6 and 9: held-out accuracy, segments against brute force, rules against their expressions; and the pipeline."""
 
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from larkspur.llm import queries, rules, toxicity
+from larkspur.llm.labelled import sample
 
 SF = "/root/testdata/sf0.1"
 
@@ -56,6 +62,89 @@ def test_toxicity_odd_rows(spark):
     assert {r.score for r in toxicity.score_toxicity(odd, none).collect()} == {0.5}
 
 
+def plain_words(text):
+    """Words and their beginnings, found apart from the operator."""
+    data = (text or "").lower().encode() if (text or "").isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    return [(w, w[:5], w[:7]) for w in re.findall(rb"[0-9a-z\x80-\xff]+", data)]
+
+
+def test_toxicity_query_against_plain_python(spark):
+    """op6's scores from the fitted model, word by word; and the model's log-odds from counts in plain Python."""
+    sf = "/root/testdata/sf0.01"
+    model = toxicity.trained(spark, sf)
+    known = dict(zip(model.tokens.tolist(), model.scores.tolist(), strict=True))
+    rows = {r.doc_id: r for r in queries.QUERIES["op6_toxicity"](spark, sf).collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert rows.keys() == docs.keys()
+    for i, text in docs.items():
+        assert rows[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        h, _ = toxicity.tokens(pa.array([text or ""]))
+        assert h.shape[1] == len(plain_words(text))
+        best = here = 0.0
+        for column in h.T.tolist():
+            x = max((known.get(k, 0.0) for k in column), key=abs) - model.drift
+            here = max(0.0, here + x)
+            best = max(best, here)
+        e = min(40.0, max(-20.0, model.lam * best - math.log(h.shape[1] + 1)))
+        want = 1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * e)))
+        assert rows[i].score == pytest.approx(want, abs=1e-9) and rows[i].predicted == (rows[i].score >= 0.5)
+    y = {}
+    for i, v in labelled(spark, sf, "toxic").items():
+        if zlib.crc32(str(i).encode()) % 5 and v is not None and i in docs:
+            y[docs[i] or ""] = max(v, y.get(docs[i] or "", 0))
+    n = [sum(v == k for v in y.values()) for k in (0, 1)]
+    seen = [Counter(), Counter()]
+    for text, v in y.items():
+        seen[v].update({w for words in plain_words(text) for w in [(0, words[0]), (5, words[1]), (7, words[2])]})
+    want = []
+    for t in seen[0].keys() | seen[1].keys():
+        y0, y1 = seen[0][t], seen[1][t]
+        if y0 + y1 >= 4:
+            a = 20 * (y0 + y1) / sum(n)
+            d = math.log((y1 + a) / (n[1] + 20.5 - y1 - a)) - math.log((y0 + a) / (n[0] + 20.5 - y0 - a))
+            e = math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
+            if abs(d) > 2.5 * e:
+                want.append(math.copysign(min(abs(d) - 2.5 * e, 8.0), d))
+    assert sorted(model.scores.tolist()) == pytest.approx(sorted(want), abs=1e-9)
+
+
+def test_quality_query_against_plain_python(spark):
+    """op9's scores as the sum of rules over statistics computed apart, text by text."""
+    sf = "/root/testdata/sf0.01"
+    model = rules.trained(spark, sf)
+    rows = {r.doc_id: r for r in queries.QUERIES["op9_quality"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        s = plain_statistics(r.text or "")
+        z = model.intercept + sum(w for q, w in model.rules if all(s[j] <= t if low else s[j] > t for j, low, t in q))
+        assert rows[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert rows[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and rows[r.doc_id].predicted == (rows[r.doc_id].score >= 0.7)
+
+
+def plain_statistics(text):
+    b = text.encode()
+    n, words = len(b), re.findall(rb"[^\x20\x09-\x0d]+", b)
+    m = len(words)
+    if not n or not m:
+        return [float(n), 0.0, *[0.0] * 5, 1.0 if n else 0.0, *[0.0] * 15]
+    share = lambda chars: sum(x in chars for x in b)
+    symbol = lambda x: 33 <= x < 127 and not chr(x).isalnum()
+    lines = [x for x in b.split(b"\n") if x.strip()]
+    pairs = list(zip(words, words[1:], strict=False))
+    size = [len(w) for w in words]
+    return [
+        n, m, sum(size) / m, max(size), sum(x >= 128 or chr(x).isalpha() for x in b) / n, share(b"0123456789") / n, sum(map(symbol, b)) / n, share(b" \t\n\v\f\r") / n, sum(65 <= x <= 90 for x in b) / n, sum(x >= 192 for x in b) / n,
+        len(lines), m / len(lines), len(set(words)) / m, len(set(pairs)) / len(pairs) if pairs else 1.0, len(set(lines)) / len(lines), max(Counter(words).values()) / m, sum(x <= 3 for x in size) / m,
+        sum(len(w) > 1 and symbol(w[-2]) for w in words) / m, sum(48 <= w[0] <= 57 for w in words) / m, share(b".!?") / m, share(b",;:") / m, share(b"#$%&*|~^=@+_") / m, share(b"<>{}[]()/\\") / m,
+    ]
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """Ids and texts that repeat count once."""
+    docs = spark.range(5000).selectExpr("id % 2 as doc_id", "concat('text ', id % 7) as text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, toxic int")
+    assert sample(docs, labels, "toxic", 10).count() <= 2 and sample(docs, labels, "toxic", 1).count() == 1
+
+
 def test_rules(spark):
     r = np.random.default_rng(1)
     x = r.random((800, len(rules.STATISTICS)))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import math
 from collections.abc import Callable, Iterator
 
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 from larkspur.llm import kernels as K
 
 BLOCK_BYTES = 8 << 20
+ROWS_PER_TASK = 1 << 16
 LEAST_BLOCKS = 64
 COUNTS = "bucket int, block int, once binary, many binary"
 RETURNED = "block int, hashes binary"
@@ -96,6 +98,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compacted(df: DataFrame) -> DataFrame:
+    """A checkpoint of a table of short rows, read in as many tasks as its rows ask for.
+
+    Each task of a step writes files of its own to a shuffle, however few rows it has; small tables
+    that go through many steps would otherwise fill the disk with nearly empty files.
+    """
+    df = checkpointed(df)
+    return df.coalesce(max(1, math.ceil(df.count() / ROWS_PER_TASK)))
+
+
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of earlier rounds that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def blocked(docs: DataFrame, id: str, text: str, n_blocks: int) -> DataFrame:
     """block, id, text and the other columns as one struct, dealt by block.
 

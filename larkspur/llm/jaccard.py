@@ -279,7 +279,7 @@ def block_pairs(held: list[pa.RecordBatch], nearest: bool, num: int, den: int) -
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node that edges (u, v) lead to; by alternating large and small stars."""
-    now = B.checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    now = B.compacted(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -291,7 +291,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, F.col("u") == F.col("at")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), "m")
         small = large.join(down, F.col("u") == F.col("at")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = B.checkpointed(small.where("u <> v").distinct())
+        now = B.compacted(small.where("u <> v").distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -343,10 +343,10 @@ def labelled(only: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, bool]:
 
     # Small rows: id, size, class and sketch of every document.
     rows = B.checkpointed(only.mapInArrow(B.streaming(measured), "id long, n long, cls long, sketch binary"))
-    classes = rows.where("cls <> 0").groupBy("cls").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = B.compacted(rows.where("cls <> 0").groupBy("cls").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     buckets = max(LEAST_BUCKETS, math.ceil(total * 0.6 / BUCKET_BYTES))
     keys = only.select("text").mapInArrow(B.streaming(lambda it: key_rows(it, size, buckets)), "bucket int, classes binary, counts binary, low binary, high binary")
-    members = B.checkpointed(keys.groupBy("bucket").applyInArrow(B.releasing(bucket_groups), "gid long, cls long").distinct())
+    members = B.compacted(keys.groupBy("bucket").applyInArrow(B.releasing(bucket_groups), "gid long, cls long").distinct())
     repeated_ids = rows.groupBy("id").agg(F.countDistinct("cls").alias("k")).where("k > 1").limit(1).count()
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,15 +358,15 @@ def labelled(only: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, bool]:
 
     def verify(pairs: DataFrame) -> DataFrame:
         """By the sets of one document of each class in a pair."""
-        pairs = B.checkpointed(pairs)
+        pairs = B.compacted(pairs)
         ends = pairs.select(F.explode(F.array("u", "v")).alias("e")).distinct()
-        chosen = B.checkpointed(classes.join(ends, F.col("cls") == F.col("e"), "left_semi").select(F.col("first").alias("f"), "cls"))
+        chosen = B.compacted(classes.join(ends, F.col("cls") == F.col("e"), "left_semi").select(F.col("first").alias("f"), "cls"))
         few = chosen.count() <= BROADCAST_IDS
         sources = only.join(F.broadcast(chosen) if few else chosen, F.col("id").eqNullSafe(F.col("f"))).select("cls", "text")
         sets = sources.mapInArrow(B.streaming(tokens), "cls long, tokens binary")
         if repeated_ids:
             sets = sets.groupBy("cls").agg(F.first("tokens").alias("tokens"))
-        return B.checkpointed(verified(pairs, B.checkpointed(sets)))
+        return B.compacted(verified(pairs, B.checkpointed(sets)))
 
     least = members.groupBy("gid").agg(F.min("cls").alias("m")).withColumnRenamed("gid", "g")
     links = members.join(least, F.col("gid") == F.col("g")).where("cls <> m").groupBy("cls").agg(F.min("m").alias("v")).select(F.col("cls").alias("u"), "v")
@@ -398,13 +398,15 @@ def labelled(only: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, bool]:
         return components(comp.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(up))
 
     for _ in range(ROUNDS):
-        tried = B.checkpointed(apart(every, True).groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v")))
+        B.tidied(only.sparkSession)
+        tried = B.compacted(apart(every, True).groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v")))
         new = verify(tried)
         found = new.count()
         if found:
             every = joined(every, new)
         if 2 * found < tried.count():  # what remains are mostly sets that only seem near
             break
+    B.tidied(only.sparkSession)
     every = joined(every, verify(apart(every, False).select("u", "v").distinct()))
 
     of = classes.join(every, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.llm import blocks as B
+
 
 @dataclass(frozen=True)
 class Template:
@@ -49,8 +51,7 @@ class Formatter:
         self.t = template
         self.special = re.compile("|".join(re.escape(x) for x in ["\\", *template.controls]))
         before, after = template.head.split("{role}")
-        part = r"((?:[^\\]|\\.)*?)"
-        self.turn = re.compile(re.escape(before) + part + re.escape(after) + part + re.escape(template.tail), re.DOTALL)
+        self.before, self.marks = before, [re.compile(r"\\.|" + re.escape(x), re.DOTALL) for x in (after, template.tail)]
 
     def escape(self, text: str) -> str:
         return self.special.sub(lambda m: "\\" + m[0], text)
@@ -80,11 +81,17 @@ class Formatter:
     def read_back(self, formatted: str) -> list[tuple[str, str]]:
         turns, at = [], 0
         while at < len(formatted):
-            m = self.turn.match(formatted, at)
-            if m is None:
+            if not formatted.startswith(self.before, at):
                 raise ValueError(f"no turn at {at}")
-            turns.append((self.unescape(m[1]), self.unescape(m[2])))
-            at = m.end()
+            at += len(self.before)
+            parts = []
+            for mark in self.marks:
+                m = next((m for m in mark.finditer(formatted, at) if m[0][0] != "\\"), None)
+                if m is None:
+                    raise ValueError(f"no end of the turn's part at {at}")
+                parts.append(self.unescape(formatted[at : m.start()]))
+                at = m.end()
+            turns.append((parts[0], parts[1]))
         return turns
 
 
@@ -111,7 +118,7 @@ def chat_format(conversations: DataFrame, template: Template | None = None) -> D
                 segments.append([{"start": x, "end": y, "loss": z} for x, y, z in parts])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(valid), pa.array(formatted, pa.string()), pa.array(segments, KIND)], names=["conv_id", "valid", "formatted", "segments"])
 
-    return whole.mapInArrow(work, f"conv_id {kind}, valid boolean, formatted string, segments {SEGMENTS}")
+    return whole.mapInArrow(B.streaming(work), f"conv_id {kind}, valid boolean, formatted string, segments {SEGMENTS}")
 
 
 def chat_read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
@@ -130,7 +137,7 @@ def chat_read_back(formatted: DataFrame, template: Template | None = None) -> Da
             loss = ["".join(f.unescape(x[s["start"] : s["end"]]) for s in m if s["loss"]) for x, m in zip(texts, masks, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(turns, kind), pa.array(loss, pa.string())], names=[*names, "turns", "loss_text"])
 
-    return formatted.mapInArrow(work, schema)
+    return formatted.mapInArrow(B.streaming(work), schema)
 
 
 #: A conversation whose texts hold the template's own control strings.

@@ -13,7 +13,7 @@ others meet in the bucket of their minimizer, each bucket with its own family of
 Consecutive windows with one minimizer travel as one segment of at most 2 * 100 - k bytes.
 Equal segments are collapsed to the earliest before they are sent, so groups of copies cost a
 bucket one segment per block. In a bucket, a window whose hash is alone there is unique and
-isn't indexed. No removal is decided by a hash except between whole equal segments.
+isn't indexed. Hashes only rule out: whatever is removed has been compared byte by byte.
 
 Defined results: a null text is empty; texts shorter than the match length stay whole;
 null ids come after all others; rows with equal ids are ordered by block, then text, so the
@@ -46,11 +46,26 @@ REMOVED = "block int, ords binary, starts binary, lens binary"
 OUTPUT = ["n_bytes", "n_removed", "spans"]
 
 
+def merge_scan(level: np.ndarray, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One pass over two sorted arrays of distinct strings: which of the batch are in the level, and both merged.
+
+    The stable sort of two runs is their merge, in linear time.
+    """
+    both = np.concatenate([level, batch])
+    order = np.argsort(both, kind="stable")
+    ranked = both[order]
+    same = np.zeros(len(both), dtype=bool)
+    same[1:] = ranked[1:] == ranked[:-1]
+    known = np.zeros(len(batch), dtype=bool)
+    known[order[same] - len(level)] = True  # the level's string comes first of two equal ones
+    return known, ranked[~same]
+
+
 class IndexFamily:
-    """Sorted levels of distinct strings of one length; ``add`` says which of a batch are known."""
+    """Levels, each a suffix array cut off at one length with its keys inline; ``add`` says which of a batch are known."""
 
-    def __init__(self) -> None:
-        self.levels: list[np.ndarray] = []
+    def __init__(self, levels: list[np.ndarray] | None = None) -> None:
+        self.levels: list[np.ndarray] = levels or []
 
     def add(self, strings: np.ndarray) -> np.ndarray:
         """For each string, in order of occurrence, whether it has come before."""
@@ -61,22 +76,34 @@ class IndexFamily:
         known = ~first
         fresh = np.flatnonzero(first)
         for level in self.levels:
-            at = np.searchsorted(level, batch[fresh])
-            at[at == len(level)] = 0
-            hit = level[at] == batch[fresh]
+            hit, _ = merge_scan(level, batch[fresh])
             known[fresh[hit]] = True
             fresh = fresh[~hit]
         if len(fresh):
             self.levels.append(batch[fresh])
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            both = np.concatenate([self.levels.pop(), self.levels.pop()])
-            both.sort(kind="stable")
-            self.levels.append(both)
+            new = self.levels.pop()
+            self.levels.append(merge_scan(self.levels.pop(), new)[1])
         out = np.empty(len(strings), dtype=bool)
         out[order] = known
         return out
 
 
+def first_of_equal(key: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which byte ranges are the first of those equal to them; a hash finds the pairs, their bytes decide."""
+    _, index, which = np.unique(key, return_index=True, return_inverse=True)
+    like = index[which]
+    own = like == np.arange(len(key))
+    again = np.flatnonzero(~own)
+    other = size[again] != size[like[again]]
+    own[again[other]] = True
+    again = again[~other]
+    if len(again):
+        same = data[K.ranges(at[again], size[again])] == data[K.ranges(at[like[again]], size[again])]
+        own[again[~np.logical_and.reduceat(same, np.cumsum(size[again]) - size[again])]] = True
+    return own
+
+
 def document_pieces(buf: np.ndarray, offsets: np.ndarray, match: int, most: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(start, end, ends of documents) of byte ranges; a longer document comes in overlapping parts."""
     for i, j in K.pieces(offsets, most):
@@ -143,8 +170,7 @@ def candidates(t: pa.Table, back: pa.Table, match: int, gram: int, buckets: int)
         parts.append((s[keep], n[keep], f[keep], c[keep]))
     s, n, f, c = (np.concatenate([p[i] for p in parts]) for i in range(4))
     doc = np.searchsorted(offsets, s, side="right") - 1
-    own = np.zeros(len(s), dtype=bool)
-    own[np.unique(K.mix(c + f), return_index=True)[1]] = True
+    own = first_of_equal(K.mix(c + f), buf, s, n + match - 1)
     rows = []
     u32 = lambda x: x.astype("<u4").tobytes()
     gone = np.flatnonzero(~own)
@@ -174,8 +200,7 @@ def resolved(t: pa.Table, match: int) -> pa.Table:
         ords, starts, lens, block, at = (x[order] for x in (ords, starts, lens, block, at))
         sums = K.prefix_sums(data.astype(np.uint64) + np.uint64(1), K.BYTE_BASE)
         content = K.mix(K.range_hashes(sums, at, at + lens + match - 1, K.BYTE_BASE) ^ (lens.astype(np.uint64) * np.uint64(K.WORD_BASE)))
-        own = np.zeros(len(at), dtype=bool)
-        own[np.unique(content, return_index=True)[1]] = True
+        own = first_of_equal(content, data, at, lens + match - 1)
         mine = np.flatnonzero(own)
         where = K.ranges(at[mine], lens[mine])
         h = K.range_hashes(sums, where, where + match, K.BYTE_BASE)

@@ -5,10 +5,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from larkspur.llm.substring import deduplicated, op1_substring_dedup, substring_dedup
-from larkspur.llm.suffix import IndexFamily, op10_suffix_dedup, suffix_dedup
+from larkspur.llm.suffix import IndexFamily, first_of_equal, op10_suffix_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, block int, spans string"
 
@@ -117,3 +120,36 @@ def test_queries_on_whole_table(spark):
     assert sorted((tuple(r) for r in op1_substring_dedup(spark, sf).collect()), key=str) == brute_words(rows, 35)
     assert sorted((tuple(r) for r in op10_suffix_dedup(spark, sf).collect()), key=str) == brute_bytes(rows, 100)
     assert defaultdict(int, ((r.n_spans > 0, 1) for r in op10_suffix_dedup(spark, sf).collect()))[True]
+
+
+def test_bytes_decide():
+    """Two ranges of one hash are equal only if their bytes are."""
+    data = np.frombuffer(b"abcabcabdab", dtype=np.uint8)
+    at, size = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 2])
+    assert first_of_equal(np.full(4, 7, dtype=np.uint64), data, at, size).tolist() == [True, False, True, True]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 40), max_size=30), max_size=12))
+def test_family_of_levels(batches):
+    """What has come before, over batches of any size; levels stay sorted, distinct and geometric."""
+    family, seen = IndexFamily(), set()
+    for b in batches:
+        strings = np.array([f"{x:03d}".encode() for x in b], dtype="S3")
+        got, want = family.add(strings).tolist() if b else [], []
+        for x in b:
+            want.append(x in seen)
+            seen.add(x)
+        assert got == want
+    assert all((a[1:] > a[:-1]).all() for a in family.levels) and sum(map(len, family.levels)) == len(seen)
+    assert all(len(a) >= 2 * len(b) for a, b in zip(family.levels, family.levels[1:], strict=False))
+
+
+def test_bytes_of_rows_with_null_and_equal_ids(spark):
+    """Null ids come last; rows with equal ids by block, then text, whichever comes first keeps what both have."""
+    t = "".join(chr(97 + i % 26) + str(i) for i in range(120))
+    rows = [(None, t), (5, t + "x"), (5, t + "x"), (2, "zz" + t), (None, t)]
+    out = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = sorted((r.doc_id if r.doc_id is not None else 99, r.n_removed) for r in out)
+    n = len(t)
+    assert gone == [(2, 0), (5, n), (5, n + 1), (99, n), (99, n)]

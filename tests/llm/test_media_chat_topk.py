@@ -1,5 +1,6 @@
 """Operators 2, 4 and 5: round trips and brute force."""
 
+import math
 import hashlib
 import struct
 import zlib
@@ -122,3 +123,28 @@ def test_topk_brute(spark, block, lead):
         assert sorted(got[q]) == [(k + 1, c, -a) for k, (a, c) in enumerate(want)]
     assert exact_topk(df.limit(0), lambda i: i % 20 == 0).count() == 0
     assert exact_topk(df.where("vec_id < 3"), lambda i: i == 0).count() == 2
+
+
+@pytest.mark.parametrize("block", [8, 1000])
+def test_topk_of_large_components(spark, block):
+    """Squared lengths far beyond doubles' integers, and beyond a long."""
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(120, 4)) * 10.0 ** r.choice([0, 6, 8, 12, 30, 300], size=(120, 1)), 3)
+    x[50:60] = x[50]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    v = [[min(max(math.floor(64 * y) if abs(y) < 1e200 else int(math.copysign(1 << 63, y)), -(1 << 63)), (1 << 63) - 1) for y in row] for row in x.tolist()]
+    cut = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    want = set()
+    for q in range(0, 120, 20):
+        s = sorted((-cut(sum(a * b for a, b in zip(v[q], v[c], strict=True))), c) for c in range(120) if c != q)[:7]
+        want |= {(q, k + 1, c, -a) for k, (a, c) in enumerate(s)}
+    assert {tuple(r) for r in exact_topk(df, lambda i: i % 20 == 0, k=7, block=block, lead=2).collect()} == want
+
+
+def test_chat_long_text():
+    f = Formatter(Template())
+    text = "a:\\\n### b </turn> " * 200_000
+    s, _ = f.format([("user", text), ("assistant", "x" * 3_000_000)])
+    assert f.read_back(s) == [("user", text), ("assistant", "x" * 3_000_000)]
+    with pytest.raises(ValueError):
+        f.read_back(s[:-2])

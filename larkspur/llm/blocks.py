@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from larkspur.llm import kernels as K
 
 BLOCK_BYTES = 8 << 20
-ROWS_PER_TASK = 1 << 16
+ROWS_PER_TASK = 1 << 14
 LEAST_BLOCKS = 64
 COUNTS = "bucket int, block int, once binary, many binary"
 RETURNED = "block int, hashes binary"

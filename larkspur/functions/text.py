@@ -1,7 +1,8 @@
 """Text functions as Spark columns: normalisation, tokens, n-grams, phonetic codes, languages.
 
-All are built-in expressions, so they stay in the JVM; only ``nfkc`` has no built-in and is an
-Arrow function, which callers apply where their text may need it.
+All are built-in expressions, so they stay in the JVM; only NFKC has no built-in and is an Arrow
+function. Text is brought to NFKC once, where it comes in (``unicode_normalized``, ``normalize_text``);
+the other functions take it so.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def unicode_normalized(c: Column) -> Column:
+    """NFKC; only text that isn't ASCII goes to Python."""
+    wide = c.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, nfkc(F.when(wide, c))).otherwise(c)
+
+
 def collapse_repeats(c: Column) -> Column:
     return F.regexp_replace(c, r"([a-zA-Z])\1{2,}", "$1$1")
 
@@ -57,6 +65,11 @@ def normalize(c: Column) -> Column:
     return collapse_spaces(strip_noise(collapse_repeats(mapped_words(F.lower(F.coalesce(c, F.lit(""))), L.ABBREVIATIONS))))
 
 
+def normalize_text(c: Column) -> Column:
+    """NFKC, then ``normalize``: the whole of it, for text as it comes in."""
+    return normalize(unicode_normalized(c))
+
+
 def singular(x: Column) -> Column:
     n = F.length(x)
     return F.when(x.endswith("ies") & (n > 4), F.concat(F.expr("''"), F.substring(x, 1, n - 3), F.lit("y"))).when(x.endswith("s") & ~x.endswith("ss") & (n > 3), F.substring(x, 1, n - 1)).otherwise(x)
@@ -115,48 +128,77 @@ def soundex_ref(c: Column) -> Column:
     return F.when(t == "", "").otherwise(F.rpad(F.concat(F.upper(F.substring(t, 1, 1)), code), 4, "0"))
 
 
+def plain_match_norm(text: str) -> str:
+    """``match_norm`` of a constant, so that fixed lists don't become expressions."""
+    words = [L.ABBREVIATIONS.get(w, w) for w in unicodedata.normalize("NFKC", text).lower().split()]
+    clean = regex.sub("_+", " ", regex.sub(r"[^\p{L}\p{N}_\s]+", " ", regex.sub(r"([a-zA-Z])\1{2,}", r"\1\1", " ".join(words))))
+    return " ".join(map(plain_singular, clean.split()))
+
+
+def plain_singular(word: str) -> str:
+    if word.endswith("ies") and len(word) > 4:
+        return word[:-3] + "y"
+    return word[:-1] if word.endswith("s") and not word.endswith("ss") and len(word) > 3 else word
+
+
 def requested_languages(c: Column) -> Column:
-    words = tokens(c)
+    return requested_of(tokens(c))
+
+
+def requested_of(words: Column) -> Column:
     return F.filter(F.array(*[F.when(F.arrays_overlap(words, strings(v)), F.lit(k)) for k, v in L.LANGUAGES.items()]), lambda x: x.isNotNull())
 
 
 def languages(c: Column) -> Column:
+    return languages_of(c, requested_languages(c))
+
+
+def languages_of(c: Column, requested: Column) -> Column:
+    """From the text's scripts and the languages that its words ask for."""
     by_script = F.array(F.when(c.rlike("[ऀ-ॿ]"), F.lit("hindi")), F.when(c.rlike("[஀-௿]"), F.lit("tamil")), F.when(c.rlike("[A-Za-z]"), F.lit("english")))
-    return F.array_sort(F.array_distinct(F.concat(requested_languages(c), F.filter(by_script, lambda x: x.isNotNull()))))
+    return F.array_sort(F.array_distinct(F.concat(requested, F.filter(by_script, lambda x: x.isNotNull()))))
 
 
 def code_mixed(c: Column) -> Column:
-    return (c.rlike("[A-Za-z]") & c.rlike("[ऀ-ॿ஀-௿]")) | (F.size(requested_languages(c)) >= 2)
+    return mixed_of(c, requested_languages(c))
+
+
+def mixed_of(c: Column, requested: Column) -> Column:
+    return (c.rlike("[A-Za-z]") & c.rlike("[ऀ-ॿ஀-௿]")) | (F.size(requested) >= 2)
 
 
 def difficulty(c: Column) -> Column:
-    words, out = tokens(c), F.lit(None).cast("string")
+    return difficulty_of(tokens(c))
+
+
+def difficulty_of(words: Column) -> Column:
+    out = F.lit(None).cast("string")
     for k, v in reversed(L.DIFFICULTY.items()):
         out = F.when(F.arrays_overlap(words, strings(v)), F.lit(k)).otherwise(out)
     return out
 
 
 def synonyms(words: Column) -> Column:
-    """The words, what any phrase inside their joined text stands for, and what each word stands for."""
+    """The words, and the tokens of what any phrase inside their joined text stands for; sorted."""
     joined = F.array_join(words, " ")
-    found = [F.when(joined.contains(k), strings(v)).otherwise(F.array().cast("array<string>")) for k, v in L.SYNONYMS.items()]
-    return F.array_sort(F.array_distinct(F.concat(words, *found)))
+    found = [F.when(joined.contains(k), strings(plain_match_norm(" ".join(v)).split())).otherwise(F.array().cast("array<string>")) for k, v in L.SYNONYMS.items()]
+    return F.filter(F.array_sort(F.array_distinct(F.concat(words, *found))), lambda x: x != "")
 
 
-def contains_phrase(text: Column, phrase: str) -> Column:
-    return F.concat(F.lit(" "), match_norm(text), F.lit(" ")).contains(F.concat(F.lit(" "), match_norm(F.lit(phrase)), F.lit(" ")))
+def contains_phrase(norm: Column, phrase: str) -> Column:
+    return F.concat(F.lit(" "), norm, F.lit(" ")).contains(f" {plain_match_norm(phrase)} ")
 
 
-def romanized_forms(c: Column) -> Column:
-    """The text and its forms by the map in both directions, sorted."""
+def romanized_forms(norm: Column) -> Column:
+    """A text, normalised, and its forms by the map in both directions, sorted."""
     none = F.array().cast("array<string>")
-    parts = [F.array(match_norm(c))]
+    parts = [F.array(norm)]
     for k, v in L.ROMANIZED.items():
-        parts.append(F.when(contains_phrase(c, k), F.array(*[match_norm(F.lit(x)) for x in v])).otherwise(none))
-        back = contains_phrase(c, v[0])
+        parts.append(F.when(contains_phrase(norm, k), strings([plain_match_norm(x) for x in v])).otherwise(none))
+        back = contains_phrase(norm, v[0])
         for x in v[1:]:
-            back = back | contains_phrase(c, x)
-        parts.append(F.when(back, F.array(match_norm(F.lit(k)))).otherwise(none))
+            back = back | contains_phrase(norm, x)
+        parts.append(F.when(back, strings([plain_match_norm(k)])).otherwise(none))
     return F.filter(F.array_sort(F.array_distinct(F.concat(*parts))), lambda x: x != "")
 
 
@@ -165,7 +207,10 @@ def topics(words: Column) -> Column:
 
 
 def goal(c: Column) -> Column:
-    t = match_norm(c)
+    return goal_of(match_norm(c))
+
+
+def goal_of(t: Column) -> Column:
     return F.when(t.contains("learn") | t.contains("need") | t.contains("course"), "guided_learning").when(t.contains("basics") | t.contains("beginner"), "foundational_learning")
 
 
@@ -174,3 +219,43 @@ def highlight(text: Column, words: Column) -> Column:
     mark = lambda acc, w: F.replace(acc, w, F.concat(F.lit("<em>"), w, F.lit("</em>")))
     keyed = F.array_sort(F.transform(F.filter(F.array_distinct(words), lambda w: F.length(w) >= 3), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     return F.aggregate(keyed, text, lambda acc, s: mark(mark(acc, s["w"]), F.initcap(s["w"])))
+
+
+def summary(words: Column, topics_: Column, difficulty_: Column, languages_: Column) -> Column:
+    """The first 10 of the words, a topic, the difficulty and a language, each word once."""
+    none = F.array().cast("array<string>")
+    parts = F.concat(F.slice(words, 1, 10), F.split(F.coalesce(F.get(topics_, F.lit(0)), F.lit("")), " "), F.coalesce(F.array(difficulty_), none), F.slice(languages_, 1, 1))
+    return F.array_join(F.array_distinct(F.filter(parts, lambda x: x.isNotNull() & (x != ""))), " ")
+
+
+def histogram(words: Column) -> Column:
+    """How often each word occurs, as a map."""
+    return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("k"), F.size(F.filter(words, lambda x: x == w)).alias("n"))))
+
+
+def sql_functions() -> dict[str, tuple[str, str]]:
+    """The text functions as bodies of SQL functions of a string ``s``: name to (type, body)."""
+    abbreviations = ", ".join(f"'{k}', '{v}'" for k, v in L.ABBREVIATIONS.items())
+    words = lambda t: f"filter(split({t}, ' '), x -> x <> '')"
+    spaces = r"trim(regexp_replace({}, r'(?U)\s+', ' '))"
+    known = f"array_join(transform({words(spaces.format('lower(coalesce(s, {}))').format(chr(39) * 2))}, x -> coalesce(try_element_at(map({abbreviations}), x), x)), ' ')"
+    clean = rf"regexp_replace(regexp_replace(regexp_replace({known}, r'([a-zA-Z])\1{{2,}}', '$1$1'), r'[^\p{{L}}\p{{N}}_\s]+', ' '), '_+', ' ')"
+    singular_ = "CASE WHEN endswith(x, 'ies') AND length(x) > 4 THEN concat(substring(x, 1, length(x) - 3), 'y') WHEN endswith(x, 's') AND NOT endswith(x, 'ss') AND length(x) > 3 THEN substring(x, 1, length(x) - 1) ELSE x END"
+    letters = "regexp_replace(lower(s), '[^a-z]', '')"
+    code = rf"regexp_replace(translate(substring({letters}, 2), 'bfpvcgjkqsxzdtlmnraeiouhwy', '111122222222334556'), r'([0-9])\1+', '$1')"
+    return {
+        "match_norm": ("STRING", f"array_join(transform({words(spaces.replace('{}', clean))}, x -> {singular_}), ' ')"),
+        "compact": ("STRING", "replace(match_norm(s), ' ', '')"),
+        "tokens": ("ARRAY<STRING>", words("match_norm(s)")),
+        "soundex_ref": ("STRING", f"CASE WHEN {letters} = '' THEN '' ELSE rpad(concat(upper(substring({letters}, 1, 1)), {code}), 4, '0') END"),
+        "char_ngrams": ("ARRAY<STRING>", "CASE WHEN compact(s) = '' THEN array() WHEN length(compact(s)) <= 3 THEN array(compact(s)) ELSE transform(sequence(1, length(compact(s)) - 2), i -> substring(compact(s), i, 3)) END"),
+    }
+
+
+def register(spark) -> None:
+    """The text functions and similarities under their SQL names; the former stay in the JVM."""
+    from larkspur.functions import similarity
+
+    similarity.register(spark)
+    for name, (kind, body) in sql_functions().items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS {kind} RETURN {body}")

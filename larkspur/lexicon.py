@@ -35,3 +35,11 @@ EXPLANATIONS = {
     "title": "Exact or normalized title match", "phrase": "Query phrase found in course content", "lexical": "Lexical BM25 match on title, tags, or description",
     "fuzzy": "Typo-tolerant fuzzy match", "semantic": "Semantic retrieval rescue", "language": "Preferred language boost applied",
 }
+#: Types of recordings that are taken. Fixed values.
+AUDIO_TYPES = ["audio/wav", "audio/x-wav", "audio/mpeg", "audio/mp3", "audio/ogg", "audio/webm", "audio/mp4", "audio/x-m4a"]
+#: Queries that should find nothing. Fixed values.
+NEGATIVE_QUERIES = [
+    "quantum astrophysics for toddlers", "best pizza near airport", "javascript event loop tutorial", "amazon return policy", "bollywood latest trailer", "football live score", "how to build drone engine",
+    "cryptocurrency staking basics", "advanced kubernetes cluster tuning", "guitar chord progressions", "movie recommendation for horror fans", "real estate tax planning", "python dataframe merge examples",
+    "vacation packing checklist", "wireless router setup", "photoshop layer masking", "gaming laptop benchmark", "air fryer recipes", "car insurance premium comparison", "graphic design portfolio tips",
+]

@@ -46,10 +46,18 @@ def title_choices(docs: DataFrame, *titles: Column) -> DataFrame:
 
 
 def upsert(corpus: DataFrame, batch: DataFrame, id: str, seq: str) -> DataFrame:
-    """The last write of an id wins and keeps the id's first place; ``seq`` orders corpus before batch."""
-    both = corpus.unionByName(batch)
+    """The last write of an id wins and the id keeps its first place.
+
+    A row of the batch is later than any of the corpus, whatever its ``seq``; new ids come after
+    all known ones, in the batch's order.
+    """
+    last, first = corpus.agg(F.coalesce(F.max(seq), F.lit(-1))).first()[0], batch.agg(F.min(seq)).first()[0]
+    if first is None:
+        return corpus
+    both = corpus.withColumn("batch_no", F.lit(0)).unionByName(batch.withColumn(seq, F.col(seq) - first + last + 1).withColumn("batch_no", F.lit(1)), allowMissingColumns=True)
     by = Window.partitionBy(id)
-    return both.withColumn("rn", F.row_number().over(by.orderBy(F.desc(seq)))).withColumn("first_seq", F.min(seq).over(by)).where("rn = 1").drop("rn", seq).withColumnRenamed("first_seq", seq)
+    kept = both.withColumn("rn", F.row_number().over(by.orderBy(F.desc("batch_no"), F.desc(seq)))).withColumn("first_seq", F.min(seq).over(by)).where("rn = 1")
+    return kept.withColumn(seq, F.col("first_seq")).drop("rn", "batch_no", "first_seq")
 
 
 def delete(corpus: DataFrame, ids: DataFrame, id: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import text as X
 from larkspur.operators import index as I
 from larkspur.settings import SETTINGS
 
@@ -15,14 +16,19 @@ def bm25(docs: DataFrame, id: str, body: Column, query_terms: DataFrame, field:
     ``query_terms`` has query_id and term, a row for each occurrence. Idf is always the body's,
     the length average that of the field scored.
     """
-    field = body if field is None else field
-    posts, body_posts = I.postings(docs, id, field), I.postings(docs, id, body)
-    lens = I.lengths(docs, id, field)
-    stats = I.average_length(lens)
     wanted = query_terms.select("term").distinct()
+
+    def found(text: Column) -> DataFrame:
+        """id, doc_len, term, tf of the terms asked for; the others are dropped before anything is shuffled."""
+        words = docs.select(id, X.tokens(text).alias("w")).select(id, F.size("w").alias("doc_len"), F.explode("w").alias("term"))
+        return words.join(wanted, "term", "left_semi").groupBy(id, "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+
+    posts = found(body if field is None else field)
     # Document frequencies only of the terms asked for; their table has at most as many rows as the queries have terms.
-    idf = I.idf(body_posts.join(wanted, "term", "left_semi"), 0).select("term", "df").crossJoin(stats.select("n")).select("term", F.log(1 + (F.greatest("n", F.lit(1)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = posts.join(query_terms.join(idf, "term"), "term").join(lens, id).crossJoin(stats.select("avg_len"))
+    df = (posts if field is None else found(body)).groupBy("term").agg(F.count("*").alias("df"))
+    stats = I.average_length(I.lengths(docs, id, body if field is None else field))
+    idf = df.crossJoin(stats).select("term", "avg_len", F.log(1 + (F.greatest("n", F.lit(1)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    hits = posts.join(query_terms.join(idf, "term"), "term")
     k1, b = SETTINGS.k1, SETTINGS.b
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest("doc_len", F.lit(1)) / F.col("avg_len")))
     return hits.groupBy("query_id", id).agg(F.round(F.sum(part), 4).alias("score"))

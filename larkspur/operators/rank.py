@@ -10,10 +10,11 @@ from larkspur.settings import SETTINGS
 
 
 def total() -> Column:
+    """Not rounded: what is shown is, after admission and order."""
     out = F.lit(0.0)
     for name, w in SETTINGS.weights.items():
         out = out + F.col(name) * w
-    return F.round(out, 4)
+    return out
 
 
 def confidence() -> Column:

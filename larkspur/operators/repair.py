@@ -1,8 +1,8 @@
 """Fuzzy top-k matches of queries with choices, by shared letter pairs, and the repairs built on them.
 
 Two strings with an Indel ratio of 0.68 or more share a padded letter pair: each insertion or
-deletion breaks two pairs at most. So candidates come from an equi-join on pairs (or on a
-shared word, for token sets, whose words are sorted first). No such rule holds for windows of
+deletion breaks two pairs at most. So candidates come from an equi-join on pairs, and enough
+of them must be shared (or on a shared word, for token sets, whose words are sorted first). No such rule holds for windows of
 a longer string or below 0.68: there every query meets every choice.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import similarity as S
+from larkspur.functions import text as X
 
 
 #: From this ratio on two strings share a padded letter pair.
@@ -42,7 +43,11 @@ def candidates(queries: DataFrame, choices: DataFrame, least: float, scorer=S.in
     c = choices.select("choice", form(F.col("choice")).alias("cf"))
     near = q.withColumn("g", F.explode(letter_pairs(F.col("qf")))).join(c.withColumn("g", F.explode(letter_pairs(F.col("cf")))), "g")
     short = 2 * F.least(F.length("qf"), F.length("cf")) >= least * (F.length("qf") + F.length("cf"))
-    near = near.where(short).select("query_id", "query", "choice").distinct()
+    # Of indel distance D, which the ratio bounds, each step takes two letter pairs at most from either side.
+    steps = F.floor((1.0 - least + 1e-9) * (F.length("qf") + F.length("cf")))
+    pairs = lambda x: F.size(letter_pairs(F.col(x)))
+    near = near.where(short).groupBy("query_id", "query", "choice", "qf", "cf").agg(F.count("*").alias("shared"))
+    near = near.where(F.col("shared") >= F.greatest(pairs("qf"), pairs("cf")) - 2 * steps).select("query_id", "query", "choice").distinct()
     if scorer is S.token_set_ratio:
         w = queries.select("query_id", "query", F.explode(words_of(F.col("query"))).alias("w")).join(choices.select("choice", F.explode(words_of(F.col("choice"))).alias("w")), "w")
         near = near.unionByName(w.select("query_id", "query", "choice")).distinct()
@@ -82,6 +87,11 @@ def whole_repairs(queries: DataFrame, choices: DataFrame, k: int = 3) -> DataFra
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "choice")))
 
 
+def keyed(words: list[str]) -> dict[str, str]:
+    """Words by their singular; of words with one singular the shortest."""
+    return {X.plain_singular(w): w for w in sorted(words, key=lambda w: (-len(w), w))}
+
+
 def segment(text: str, lexicon: dict[str, str]) -> str | None:
     """A compact query cut into at least two words of the lexicon, the longest first at each place."""
     n, longest = len(text), max(map(len, lexicon), default=0)
@@ -108,6 +118,6 @@ def segmented(queries: DataFrame, vocabulary: DataFrame, always: list[str]) -> D
 
     @F.pandas_udf("string")
     def cut(q: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series([segment(x, {t: t for t in [*([] if w is None else w), *always]}) for x, w in zip(q, words, strict=True)], dtype=object)
+        return pd.Series([segment(x, keyed([*([] if w is None else w), *always])) for x, w in zip(q, words, strict=True)], dtype=object)
 
     return queries.join(found, "query", "left").select("query", cut("query", "words").alias("segmented"))

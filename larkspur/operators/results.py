@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur import lexicon as L
 from larkspur.functions import text as X
 from larkspur.settings import SETTINGS
+from larkspur.sources.store import materialised
 
 TEXT_FILTERS = ["language", "category", "topic", "instructor", "difficulty"]
 
@@ -39,18 +40,15 @@ def order(sort: str, seq: str = "doc_seq") -> list[Column]:
 
 
 def ranked(hits: DataFrame, sort: str, seq: str = "doc_seq", by: list[str] | None = None) -> DataFrame:
-    """hits with rank from 1. Without ``by`` the order is global: Spark sorts by range over all tasks, and only
-    per-partition counts (one row each) meet to give each partition its first number."""
+    """hits with rank from 1. Without ``by`` the order is global: rows are dealt by range, and only per-partition
+    counts (one row each) meet to give each partition its first number."""
     if by:
         return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order(sort, seq))))
-    part = hits.sort(*order(sort, seq)).withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id())
-    return numbered(part)
-
-
-def numbered(part: DataFrame) -> DataFrame:
-    counts = part.groupBy("p").agg(F.count("*").alias("c"), F.min("m").alias("lo"))
-    before = counts.withColumn("before", F.sum("c").over(Window.orderBy("p")) - F.col("c")).select(F.col("p").alias("q"), "before", "lo")
-    return part.join(F.broadcast(before), F.col("p") == F.col("q")).withColumn("rank", F.col("before") + F.col("m") - F.col("lo") + 1).drop("p", "q", "m", "lo", "before")
+    # Range partitions are written down once, so their numbers can't differ between the count and the numbering.
+    part = materialised(hits.repartitionByRange(*order(sort, seq)).withColumn("p", F.spark_partition_id()))
+    before = part.groupBy("p").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.orderBy("p")) - F.col("c")).select(F.col("p").alias("q"), "before")
+    own = F.row_number().over(Window.partitionBy("p").orderBy(*order(sort, seq)))
+    return part.join(F.broadcast(before), F.col("p") == F.col("q")).withColumn("rank", F.col("before") + own).drop("p", "q", "before")
 
 
 def facets(hits: DataFrame) -> DataFrame:
@@ -74,10 +72,15 @@ def variants(docs: DataFrame, group: str, id: str) -> DataFrame:
 
 def page(ranked_hits: DataFrame, page: int = 1, size: int = 10, cursor: str | None = None) -> DataFrame:
     size = max(1, min(size, SETTINGS.max_page_size))
-    at = max(1, int(cursor)) if cursor and cursor.isascii() and cursor.isdigit() else max(1, page)
+    at = page_number(page, cursor)
     return ranked_hits.where(F.col("rank").between((at - 1) * size + 1, at * size))
 
 
+def page_number(page: int, cursor: str | None) -> int:
+    """A numeric cursor goes before the page."""
+    return max(1, int(cursor)) if cursor and cursor.isascii() and cursor.isdigit() else max(1, page)
+
+
 def pagination(total: int, page: int, size: int) -> dict:
     size = max(1, min(size, SETTINGS.max_page_size))
     return {"page": page, "page_size": size, "total_results": total, "total_pages": -(-total // size), "next_cursor": str(page + 1) if page * size < total else None}
@@ -85,3 +88,8 @@ def pagination(total: int, page: int, size: int) -> dict:
 
 def guidance(alternates: Column) -> Column:
     return F.array_distinct(F.concat(X.strings(L.GUIDANCE), F.slice(alternates, 1, 2)))
+
+
+def no_results(query: str, filters: dict, alternates: list[str]) -> dict:
+    """What to say when nothing is found."""
+    return {"message": f"No strong results found for '{query}'.", "suggestions": list(dict.fromkeys([*L.GUIDANCE, *alternates[:2]])), "filters_to_relax": list(applied(filters))}

@@ -13,7 +13,8 @@ from larkspur.functions import text as X
 from larkspur.operators import analytics, index, lexical, rank, repair, results
 from larkspur.plans import engine
 from larkspur.plans import sqltext as D
-from larkspur.sources.catalogue import of_documents, of_parts
+from larkspur.sources.catalogue import of_documents, of_parts, spread
+from larkspur.sources.store import StoredIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,6 +36,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id and text of all documents, on all cores."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 PARTS = """p AS (SELECT p_partkey AS course_id, p_partkey AS doc_seq, p_name AS title, p_name AS group_id, p_brand AS instructor, p_type AS category, p_type AS topic, 'English' AS language,
   CASE WHEN p_size % 3 <> 0 THEN CASE WHEN p_size > 25 THEN 'advanced' ELSE 'beginner' END END AS difficulty, p_size AS duration_minutes, CASE WHEN p_size % 5 <> 0 THEN p_size % 2 = 0 END AS certification,
   p_retailprice AS popularity, p_size / 50.0 AS recency, p_size <> 13 AS active FROM part)"""
@@ -45,7 +51,7 @@ DOCS = "d AS (SELECT doc_id, array_to_string(string_split(text, ' ')[1:8], ' ')
 
 @query(f"SELECT p_partkey, {D.norm('p_name')} AS norm FROM part")
 def text_normalize(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", X.normalize(F.col("p_name")).alias("norm"))
+    return table(spark, sf, "part").select("p_partkey", X.normalize_text(F.col("p_name")).alias("norm"))
 
 
 @query(f"SELECT item_id, {D.compact('text')} AS compacted FROM benchmark")
@@ -75,13 +81,13 @@ def text_char_trigrams(spark, sf):
 
 @query(f"WITH t AS (SELECT DISTINCT unnest({D.tokens('text')}) AS term FROM documents) SELECT term, {D.soundex('term')} AS code FROM t")
 def text_soundex(spark, sf):
-    terms = table(spark, sf, "documents").select(F.explode(X.tokens(F.col("text"))).alias("term")).distinct()
+    terms = texts(spark, sf).select(F.explode(X.tokens(F.col("text"))).alias("term")).distinct()
     return terms.select("term", X.soundex_ref(F.col("term")).alias("code"))
 
 
-@query(f"SELECT conv_id, turn, {D.fillers('text')} AS cleaned FROM conversations WHERE role = 'user'")
+@query(f"SELECT conv_id, turn, {D.fillers('text')} AS cleaned FROM conversations")
 def text_remove_fillers(spark, sf):
-    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", X.remove_fillers(F.col("text")).alias("cleaned"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.remove_fillers(F.col("text")).alias("cleaned"))
 
 
 def _languages(e: str) -> str:
@@ -99,16 +105,36 @@ def code_mixed(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", X.code_mixed(F.col("text")).alias("mixed"))
 
 
-@query()
+_SAID = [(-1, "breast feeding basics in Tamil"), (-2, "newborn care"), (-3, "kmc samajh"), (-4, "family planning lam"), (-5, "नवजात शिशु"), (-6, ""), (-7, "advanced c section after post partum depression")]
+_SAID_SQL = "(SELECT item_id::BIGINT AS item_id, text FROM benchmark UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, {D.q(t)})" for i, t in _SAID) + ") v(i, t))"
+
+
+def _said(spark, sf):
+    """All benchmark texts, and some that hold words of the fixed lists."""
+    return table(spark, sf, "benchmark").select("item_id", "text").unionByName(spark.createDataFrame(_SAID, "item_id long, text string"))
+
+
+def _synonyms_sql() -> str:
+    cases = ", ".join(f"CASE WHEN contains(j, {D.q(k)}) THEN {D.tokens(D.q(' '.join(v)))} ELSE [] END" for k, v in L.SYNONYMS.items())
+    return f"WITH t AS (SELECT item_id, {D.tokens('text', False)} AS w, array_to_string({D.tokens('text', False)}, ' ') AS j FROM {_SAID_SQL} s) SELECT item_id, array_to_string(list_sort(list_distinct(flatten([w, {cases}]))), '|') AS terms FROM t"
+
+
+def _romanized_sql() -> str:
+    has = lambda p: f"contains(' ' || m || ' ', ' ' || {D.match(D.q(p))} || ' ')"
+    there = [f"CASE WHEN {has(k)} THEN [{', '.join(D.match(D.q(x)) for x in v)}] ELSE [] END" for k, v in L.ROMANIZED.items()]
+    back = [f"CASE WHEN {' OR '.join(map(has, v))} THEN [{D.match(D.q(k))}] ELSE [] END" for k, v in L.ROMANIZED.items()]
+    return f"WITH t AS (SELECT item_id, {D.match('text')} AS m FROM {_SAID_SQL} s) SELECT item_id, array_to_string(list_sort(list_filter(list_distinct(flatten([[m], {', '.join(there + back)}])), lambda x: x <> '')), '|') AS forms FROM t"
+
+
+@query(_synonyms_sql())
 def synonym_expand(spark, sf):
-    b = table(spark, sf, "benchmark").unionByName(spark.createDataFrame([(-1, "breast feeding basics in Tamil"), (-2, "newborn care")], "item_id long, text string"))
+    b = _said(spark, sf)
     return b.select("item_id", F.array_join(X.synonyms(X.tokens(F.col("text"), False)), "|").alias("terms"))
 
 
-@query()
+@query(_romanized_sql())
 def translit_expand(spark, sf):
-    d = spark.createDataFrame([(1, "kmc samajh"), (2, "family planning lam"), (3, "नवजात शिशु"), (4, "")], "id int, text string")
-    return d.select("id", F.array_join(X.romanized_forms(F.col("text")), "|").alias("forms"))
+    return _said(spark, sf).select("item_id", F.array_join(X.romanized_forms(X.match_norm(F.col("text"))), "|").alias("forms"))
 
 
 @query("SELECT * FROM (VALUES ('pph_primary_management.wav', 'pph primary management', 0.64::DOUBLE), ('a/um-newborn_care.mp3', 'newborn care', 0.64::DOUBLE)) t(path, transcript, confidence)")
@@ -125,18 +151,18 @@ LEN = f"len AS (SELECT doc_id, len({D.tokens('text')})::BIGINT AS doc_len FROM d
 
 @query(f"WITH {TF} SELECT * FROM tf")
 def index_term_freq(spark, sf):
-    return index.postings(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    return index.postings(texts(spark, sf), "doc_id", F.col("text"))
 
 
 @query(f"WITH {TF}, n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*)::BIGINT AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM tf, n GROUP BY term")
 def index_doc_freq_idf(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     return index.idf(index.postings(d, "doc_id", F.col("text")), d.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {LEN} SELECT round(greatest(avg(doc_len), 1.0), 4) AS avg_len, count(*)::BIGINT AS n FROM len")
 def index_avg_len(spark, sf):
-    return index.average_length(index.lengths(table(spark, sf, "documents"), "doc_id", F.col("text"))).select(F.round("avg_len", 4).alias("avg_len"), "n")
+    return index.average_length(index.lengths(texts(spark, sf), "doc_id", F.col("text"))).select(F.round("avg_len", 4).alias("avg_len"), "n")
 
 
 @query(f"SELECT DISTINCT unnest({D.tokens('p_name')}) AS term FROM part")
@@ -149,12 +175,14 @@ def index_title_choices(spark, sf):
     return index.title_choices(table(spark, sf, "part"), F.col("p_name"))
 
 
-@query("SELECT p_partkey, coalesce(CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name END, p_name) AS p_name, p_partkey AS seq FROM part UNION ALL SELECT p_partkey + 10000000, p_name, p_partkey + 1000000000 FROM part WHERE p_partkey % 7 = 0")
+@query("""WITH m AS (SELECT max(p_partkey) AS top FROM part), f AS (SELECT min(least(CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE 1000000000000000000 END, CASE WHEN p_partkey % 7 = 0 THEN p_partkey ELSE 1000000000000000000 END)) AS lo FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name END AS p_name, p_partkey AS seq FROM part UNION ALL SELECT p_partkey + 10000000, p_name, p_partkey - lo + top + 1 FROM part, m, f WHERE p_partkey % 7 = 0""")
 def upsert_last_wins(spark, sf):
+    """The batch's own sequence numbers are as small as the corpus's, as in a file that is loaded."""
     p = table(spark, sf, "part")
     base = p.select("p_partkey", "p_name", F.col("p_partkey").alias("seq"))
-    batch = p.where("p_partkey % 3 = 0").select("p_partkey", F.concat(F.lit("new "), "p_name").alias("p_name"), (F.col("p_partkey") + 500000000).alias("seq"))
-    more = p.where("p_partkey % 7 = 0").select((F.col("p_partkey") + 10000000).alias("p_partkey"), "p_name", (F.col("p_partkey") + 1000000000).alias("seq"))
+    batch = p.where("p_partkey % 3 = 0").select("p_partkey", F.concat(F.lit("new "), "p_name").alias("p_name"), F.col("p_partkey").alias("seq"))
+    more = p.where("p_partkey % 7 = 0").select((F.col("p_partkey") + 10000000).alias("p_partkey"), "p_name", F.col("p_partkey").alias("seq"))
     return index.upsert(base, batch.unionByName(more), "p_partkey", "seq")
 
 
@@ -180,7 +208,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 
 
 _ONE = f"q AS (SELECT 0 AS query_id, unnest({D.tokens(D.q(TEXT_QUERY), False)}) AS term)"
-_MANY = f"q AS (SELECT item_id AS query_id, unnest({D.tokens('text', False)}[1:4]) AS term FROM benchmark)"
+_MANY = f"q AS (SELECT item_id AS query_id, unnest({D.tokens('text', False)}) AS term FROM benchmark)"
 
 
 @query(_bm25_sql(_ONE, "body"))
@@ -196,25 +224,18 @@ def bm25_title_topk(spark, sf):
 
 @query(_bm25_sql(_MANY, "body"))
 def bm25_batch_queries(spark, sf):
-    terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(X.tokens(F.col("text"), False), 1, 4)).alias("term"))
-    return lexical.top(lexical.bm25(of_documents(spark, sf), "doc_id", F.col("body"), terms), 10, "doc_id").select("query_id", "doc_id", "score", "rank")
-
-
-@query()
-def bm25_batch_all_tokens(spark, sf):
-    """bm25_batch_queries with every token of each text, not the first 4 that its SQL asks for."""
     terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(X.tokens(F.col("text"), False)).alias("term"))
     return lexical.top(lexical.bm25(of_documents(spark, sf), "doc_id", F.col("body"), terms), 10, "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {_ONE}, {TF} SELECT doc_id, count(DISTINCT term)::BIGINT AS matched, string_agg(DISTINCT term, ' ' ORDER BY term) AS matched_terms FROM tf JOIN q USING (term) GROUP BY doc_id")
 def matched_terms(spark, sf):
-    return engine.matched(table(spark, sf, "documents"), "doc_id", "text", _terms(spark, TEXT_QUERY)).select("doc_id", "matched", F.array_join("matched_terms", " ").alias("matched_terms"))
+    return engine.matched(texts(spark, sf), "doc_id", "text", _terms(spark, TEXT_QUERY)).select("doc_id", "matched", F.array_join("matched_terms", " ").alias("matched_terms"))
 
 
 @query(f"WITH {_ONE}, n AS (SELECT count(*) AS n FROM q), c AS (SELECT DISTINCT doc_id, {D.soundex('term')} AS code FROM (SELECT doc_id, unnest({D.tokens('text')}) AS term FROM documents)) SELECT doc_id, round(count(*) / any_value(n), 4) AS phonetic FROM c JOIN (SELECT {D.soundex('term')} AS code FROM q) k USING (code), n WHERE code <> '' GROUP BY doc_id")
 def phonetic_score(spark, sf):
-    return engine.phonetic(table(spark, sf, "documents"), "doc_id", "text", _terms(spark, TEXT_QUERY)).select("doc_id", "phonetic")
+    return engine.phonetic(texts(spark, sf), "doc_id", "text", _terms(spark, TEXT_QUERY)).select("doc_id", "phonetic")
 
 
 def _features(e: str) -> str:
@@ -247,7 +268,7 @@ def phrase_score(spark, sf):
 
 
 SIGNALS = "SELECT vec_id, " + ", ".join(f"abs(embedding[{i + 1}]::DOUBLE) * {m} AS {c}" for i, (c, m) in enumerate([("lexical", 3), ("title_bm25", 0), ("fuzzy", 3), ("semantic", 2), ("phonetic", 2), ("popularity", 1), ("recency", 1), ("language_boost", 0)])) + ", CASE WHEN vec_id % 7 = 0 THEN 3.0 ELSE 0.0 END::DOUBLE AS phrase, (vec_id % 3)::INT AS matched FROM embeddings"
-TOTAL = "round(lexical * 0.32 + title_bm25 * 0.18 + fuzzy * 0.14 + semantic * 0.18 + phrase * 0.08 + phonetic * 0.04 + popularity * 0.03 + recency * 0.01 + language_boost * 0.06, 4)"
+TOTAL = "(lexical * 0.32 + title_bm25 * 0.18 + fuzzy * 0.14 + semantic * 0.18 + phrase * 0.08 + phonetic * 0.04 + popularity * 0.03 + recency * 0.01 + language_boost * 0.06)"
 
 
 def _signals(spark, sf):
@@ -256,9 +277,9 @@ def _signals(spark, sf):
     return e.select("vec_id", *[(F.abs(F.col("embedding")[i].cast("double")) * m).alias(c) for i, (c, m) in enumerate(cols)], F.when(F.col("vec_id") % 7 == 0, 3.0).otherwise(0.0).alias("phrase"), (F.col("vec_id") % 3).cast("int").alias("matched")).withColumn("total", rank.total())
 
 
-@query(f"WITH s AS ({SIGNALS}), t AS (SELECT *, {TOTAL} AS total FROM s) SELECT vec_id, total, round(CASE WHEN phrase >= 1.2 THEN least(0.99, 0.7 + total / 4.0) WHEN fuzzy >= 0.9 AND semantic >= 0.3 THEN least(0.95, 0.62 + total / 4.5) ELSE greatest(0.15, least(0.9, 0.35 + total / 5.0)) END, 6) AS confidence FROM t")
+@query(f"WITH s AS ({SIGNALS}), t AS (SELECT *, {TOTAL} AS total FROM s) SELECT vec_id, round(total, 4) AS total, round(CASE WHEN phrase >= 1.2 THEN least(0.99, 0.7 + total / 4.0) WHEN fuzzy >= 0.9 AND semantic >= 0.3 THEN least(0.95, 0.62 + total / 4.5) ELSE greatest(0.15, least(0.9, 0.35 + total / 5.0)) END, 6) AS confidence FROM t")
 def hybrid_score(spark, sf):
-    return _signals(spark, sf).select("vec_id", "total", F.round(rank.raw_confidence(), 6).alias("confidence"))
+    return _signals(spark, sf).select("vec_id", F.round("total", 4).alias("total"), F.round(rank.raw_confidence(), 6).alias("confidence"))
 
 
 @query(f"""WITH s AS ({SIGNALS}), t AS (SELECT *, {TOTAL} AS total FROM s) SELECT vec_id, (total > 0.35 AND (matched >= 2 OR title_bm25 > 0 OR phrase > 0 OR fuzzy >= 0.72 OR semantic >= 0.32 OR phonetic >= 0.5))
@@ -269,9 +290,10 @@ def candidate_admission(spark, sf):
 
 @query()
 def hybrid_search(spark, sf):
-    c = of_parts(spark, sf).withColumn("body", F.col("title"))
-    qs = spark.createDataFrame([(1, PART_QUERY), (2, "um wiget pleese"), (3, "quantum astrophysics")], "query_id int, query string")
-    return engine.search(c, qs)
+    """Every distinct part name with a letter lost, against the stored index of all parts."""
+    c = of_parts(spark, sf).withColumn("body", F.concat_ws(" ", "title", "category", "instructor")).withColumn("popularity", F.col("popularity") / 10_000)
+    asked = table(spark, sf, "part").groupBy(F.regexp_replace("p_name", "([a-z]{3})[a-z]", "$1").alias("query")).agg(F.min("p_partkey").alias("query_id"))
+    return engine.search(StoredIndex.build(c), asked)
 
 
 # Fuzzy matches and repairs
@@ -307,8 +329,9 @@ def repair_tokens(spark, sf):
 
 @query()
 def repair_whole(spark, sf):
-    one = spark.createDataFrame([(0, "smallbolt"), (1, "boltt small")], "query_id int, query string")
-    return repair.whole_repairs(one, _titles(spark, sf)).select("query_id", "choice", "score", "rank")
+    """Every part name with a letter lost."""
+    noisy = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), F.regexp_replace(X.match_norm(F.col("p_name")), "([a-z]{4})[a-z]", "$1").alias("query"))
+    return repair.whole_repairs(noisy, _titles(spark, sf)).select("query_id", "choice", "score", "rank")
 
 
 @query()
@@ -400,7 +423,7 @@ def analytics_recent(spark, sf):
 
 @query("SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
 def analytics_top_queries(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return analytics.popularity(table(spark, sf, "events"), "event_type")
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) % 10 = 0 GROUP BY event_type")
@@ -414,7 +437,11 @@ def analytics_avg_latency_500(spark, sf):
     return analytics.mean_of_latest(table(spark, sf, "events"), "value", "event_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) AS i FROM events), r AS (
+  SELECT event_id, user_id, i, true AS allowed, 0::BIGINT AS retry_after, [t] AS kept FROM e WHERE i = 1
+  UNION ALL SELECT event_id, user_id, i, len(k) < 2, CASE WHEN len(k) < 2 THEN 0 ELSE greatest(1, trunc(k[1] + 86400 - t)) END::BIGINT, CASE WHEN len(k) < 2 THEN list_append(k, t) ELSE k END
+  FROM (SELECT e.*, list_filter(r.kept, lambda x: x >= e.t - 86400) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) n
+) SELECT event_id, user_id AS key, allowed, retry_after::INTEGER AS retry_after FROM r""")
 def rate_limit_sequential(spark, sf):
     return analytics.allowed("user_id", "ts", table(spark, sf, "events"), limit=2, window=86_400)
 
@@ -455,8 +482,3 @@ def _by_tag(spark, sf, best):
 @query(_BEST)
 def eval_topk_by_tag(spark, sf):
     return _by_tag(spark, sf, bm25_batch_queries(spark, sf))
-
-
-@query()
-def eval_topk_by_tag_all_tokens(spark, sf):
-    return _by_tag(spark, sf, bm25_batch_all_tokens(spark, sf))

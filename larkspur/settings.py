@@ -20,6 +20,10 @@ class Settings:
     max_audio_bytes: int = 5 << 20
     rate_limit: int = 60
     rate_window_seconds: int = 60
+    schema_version: str = "1.0.0"
+    api_prefix: str = "/api/v1"
+    api_key_header: str = "X-API-Key"
+    mean_of_latest: int = 500
 
 
 SETTINGS = Settings()

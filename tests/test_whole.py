@@ -54,9 +54,9 @@ def test_search_by_every_column(spark, tmp_path):
 
 def test_fuzzy_is_best_of_seven(spark):
     rows = [("a", "bleeding after birth", ["pph bundle", "motive approach"]), ("b", "warmth", []), ("c", "care of newborn", ["newborn"])]
-    c = spark.createDataFrame(rows, "course_id string, title string, names array<string>")
+    flat = [(i, n, n.replace(" ", ""), k == 0) for i, title, names in rows for k, n in enumerate([title, *names])]
     asked = ["pphbundle", "motve", "bundle pph x", "warmt", "birth bleeding"]
-    q = spark.createDataFrame([(x, x, x.replace(" ", "")) for x in asked], "query_id string, normalized string, compacted string")
+    q = spark.createDataFrame([(x, x) for x in asked], "query_id string, text string")
     want = {}
     for x in asked:
         y = x.replace(" ", "")
@@ -66,8 +66,9 @@ def test_fuzzy_is_best_of_seven(spark):
             for n in names:
                 m = n.replace(" ", "")
                 seven += [S.token_set(x, n), S.indel(y, m), S.partial(y, m)]
-            want[x, id] = round(max(seven), 4)
-    assert {(r.query_id, r.course_id): r.fuzzy for r in engine.fuzzy(c, q).collect()} == want
+            want[x, id] = max(seven)
+    got = engine.by_likeness(spark.createDataFrame(flat, "course_id string, norm string, compact string, title boolean"), q)
+    assert {(r.query_id, r.course_id): r.fuzzy for r in got.collect()} == pytest.approx({k: v for k, v in want.items() if v})
 
 
 def test_whole_repairs_without_spaces(spark):
@@ -102,8 +103,8 @@ def test_batch_uses_all_tokens(spark, tmp_path):
                     scores[i] = scores.get(i, 0) + math.log(1 + (30 - df + 0.5) / (df + 0.5)) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(t) / mean))
         best = sorted(scores, key=lambda i: (-round(scores[i], 4), i))[:10]
         want |= {(q, i, round(scores[i], 4), r) for r, i in enumerate(best, 1)}
-    assert {tuple(r) for r in QUERIES["bm25_batch_all_tokens"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in QUERIES["bm25_batch_queries"](spark, str(tmp_path)).collect()} == want
     tags = {i: tag for i, _, tag, _ in docs}
     hits = [(tags[i], r) for _, i, _, r in want if r <= 3]
-    got = {r.tag: (r.hits, r.top1) for r in QUERIES["eval_topk_by_tag_all_tokens"](spark, str(tmp_path)).collect()}
+    got = {r.tag: (r.hits, r.top1) for r in QUERIES["eval_topk_by_tag"](spark, str(tmp_path)).collect()}
     assert got == {t: (sum(t == u for u, _ in hits), sum(t == u and r == 1 for u, r in hits)) for t in {t for t, _ in hits}}

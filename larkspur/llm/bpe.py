@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from larkspur.llm import blocks as B
 from larkspur.llm import kernels as K
 from larkspur.llm.chunks import ChunkEncoder
+from larkspur.llm.session import documents
 
 IDS = T.ArrayType(T.IntegerType())
 Step = Callable[[pa.RecordBatch], pa.RecordBatch]
@@ -229,7 +230,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text",
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     out = bpe_round_trip(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     return out.select(
         "doc_id",

@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm import blocks as B
 from larkspur.llm import kernels as K
+from larkspur.llm.session import documents
 
 SHINGLE = 5
 #: Similarity of at least NUM / DEN links.
@@ -461,6 +462,6 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text:
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     out, _ = labelled(docs.select(F.col("doc_id").alias("id"), "text"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm import blocks as B
+from larkspur.llm.session import documents
 
 RATE = 16_000
 WAVE_HEADER = 44
@@ -270,7 +271,7 @@ def sample_features(df: DataFrame) -> DataFrame:
 
 
 def op2_media_columns(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     out = sample_features(sniff_media(stored_texts(docs)))
     return out.select(
         "doc_id",

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from larkspur.llm import blocks as B
 from larkspur.llm import kernels as K
 from larkspur.llm.chunks import ChunkEncoder
+from larkspur.llm.session import documents
 
 CAPACITY = 2048
 #: A bin with less room than this is nearly full.
@@ -230,4 +231,4 @@ def packed_digests(docs: DataFrame) -> DataFrame:
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return packed_digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return packed_digests(documents(spark, sf_dir))

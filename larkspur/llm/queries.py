@@ -36,10 +36,29 @@ SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
 FROM w LEFT JOIN d USING (doc_id)
 """
 
+#: Sets of shingles, links by an equi-join on them, and the components of the links.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS v FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(v[i:i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(v) - 4, 1) + 1)) AS r(i) WHERE len(v) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b USING (g) JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(p.n) + any_value(q.n) - count(*))
+), c AS (
+  SELECT doc_id AS d, doc_id AS reached FROM w UNION SELECT c.d, l.y FROM c JOIN l ON l.x = c.reached
+), m AS (
+  SELECT d, min(reached) AS component_id FROM c GROUP BY d
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM w LEFT JOIN n USING (doc_id) JOIN m ON m.d = w.doc_id
+"""
+
 
 def _prepared(f):
     return lambda spark, sf_dir: f(ready(spark), sf_dir)
 
 
 QUERIES = {f.__name__: _prepared(f) for f in _ALL}
-ORACLE: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op4_chat_formatting": CHAT_SQL, "op5_exact_topk": TOPK_SQL}
+ORACLE: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op4_chat_formatting": CHAT_SQL, "op5_exact_topk": TOPK_SQL, "op7_jaccard_join": JACCARD_SQL}

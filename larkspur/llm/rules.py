@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from larkspur.llm import blocks as B
 from larkspur.llm import kernels as K
 from larkspur.llm.labelled import fold, sample
+from larkspur.llm.session import documents
 
 MAX_DOCS = 20_000
 TREES = 40
@@ -209,6 +210,6 @@ def trained(spark, sf_dir: str) -> RuleModel:
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     out = score_quality(docs, trained(spark, sf_dir))
     return out.select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

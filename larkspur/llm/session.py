@@ -5,12 +5,19 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ARROW_BYTES = "4m"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of all documents; where their files make fewer tasks than there are cores, dealt to all."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Workers on this machine find the package by path; on a cluster submit it with --py-files."""
     env = spark.sparkContext.environment

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm import blocks as B
 from larkspur.llm import kernels as K
+from larkspur.llm.session import documents
 
 BUCKET_BYTES = 24 << 20
 OUTPUT = ["n_words", "n_removed", "spans"]
@@ -85,5 +86,5 @@ def deduplicated(docs: DataFrame, window: int = 35) -> DataFrame:
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = substring_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm import blocks as B
 from larkspur.llm import kernels as K
+from larkspur.llm.session import documents
 
 MATCH = 100
 GRAM = 16
@@ -271,5 +272,5 @@ def suffix_dedup(docs: DataFrame, match: int = MATCH, id: str = "doc_id", text:
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = suffix_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))

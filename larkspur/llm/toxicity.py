@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from larkspur.llm import blocks as B
 from larkspur.llm import kernels as K
 from larkspur.llm.labelled import fold, logistic, sample
+from larkspur.llm.session import documents
 
 MAX_DOCS = 30_000
 #: Bytes of a word that count; 0: all.
@@ -218,6 +219,6 @@ def trained(spark, sf_dir: str, held: int = 0) -> Model:
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     out = score_toxicity(docs, trained(spark, sf_dir))
     return out.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))

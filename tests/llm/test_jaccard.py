@@ -3,10 +3,11 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
-from larkspur.llm import jaccard
+from larkspur.llm import jaccard, queries
 from larkspur.llm.jaccard import Bands, components, deduplicated, jaccard_components, op7_jaccard_join, piece_keys, sketch
 
 
@@ -116,3 +117,10 @@ def test_op7(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in op7_jaccard_join(spark, sf).collect()) == brute(rows)
+
+
+def test_op7_sql(spark):
+    db = duckdb.connect()
+    db.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    rows = sorted(db.execute(queries.ORACLE["op7_jaccard_join"]).fetchall())
+    assert rows == brute([(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()])

@@ -23,7 +23,7 @@ MAYBE_SPACE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 LETTER = np.array([i < 128 and chr(i).isalpha() for i in range(256)])
 MARK = np.array([33 <= i < 127 and not chr(i).isalnum() for i in range(256)])
 #: Chunks that are put together at once.
-STEP = 1 << 20
+STEP = 1 << 19
 
 
 def cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ class ChunkEncoder:
     the old one, and what is found there again moves to the new one.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 300_000, longest: int = 48) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 150_000, longest: int = 48) -> None:
         self.encode, self.most, self.longest = encode, most, longest
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,8 @@ BUCKET_BYTES = 24 << 20
 FLUSH_BYTES = 8 << 20
 #: Rounds of links to the nearest, at most; the comparison in full after them loses nothing.
 ROUNDS = 4
+#: Groups in which a set asks in a round, at most.
+ASKS = 6
 #: Members of a group that one block compares with as many others.
 CHUNK = 2048
 #: Comparisons that a task makes at once.
@@ -373,8 +375,11 @@ def labelled(only: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, bool]:
     links = members.join(least, F.col("gid") == F.col("g")).where("cls <> m").groupBy("cls").agg(F.min("m").alias("v")).select(F.col("cls").alias("u"), "v")
     every = components(verify(plausible(links, classes)))
 
-    def apart(comp: DataFrame, nearest: bool) -> DataFrame:
-        """Pairs (u, v, far) of sets in groups that hold more than one component."""
+    def apart(comp: DataFrame, round_: int | None) -> DataFrame:
+        """Pairs (u, v, far) of sets in groups that hold more than one component.
+
+        In a round a set asks for its nearest in ASKS of its groups, others each round; without one in all, for all.
+        """
         placed = members.join(comp, F.col("cls") == F.col("node"), "left").select("gid", "cls", F.coalesce("root", "cls").alias("comp"))
         # The largest component of a group is its home: its sets answer and needn't ask.
         parts = placed.groupBy("gid", "comp").agg(F.count("*").alias("k"))
@@ -382,6 +387,9 @@ def labelled(only: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, bool]:
         chunks = lambda c: F.ceil(c / CHUNK).cast("int")
         groups = groups.select("g", F.col("most.comp").alias("at_home"), chunks(F.col("size") - F.col("most.k")).alias("asking"), chunks(F.col("size")).alias("answering"))
         open_ = placed.join(groups, F.col("gid") == F.col("g")).withColumn("home", F.col("comp") == F.col("at_home"))
+        if round_ is not None:
+            turn = F.row_number().over(Window.partitionBy("cls", "home").orderBy(F.xxhash64("gid", F.lit(round_)), "gid"))
+            open_ = open_.withColumn("home", F.col("home") | (turn > ASKS))
         mine = lambda c, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(c)).cast("int")
         open_ = open_.withColumn("a", mine("asking", 1)).withColumn("b", mine("answering", 2))
         # A set answers in its column of blocks and, unless at home, asks in its row of blocks.
@@ -389,7 +397,7 @@ def labelled(only: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, bool]:
         row = F.transform(F.filter(F.sequence(F.lit(0), F.col("answering") - 1), lambda j: ~F.col("home") & (j != F.col("b"))), lambda j: F.struct(F.col("a").alias("i"), j.alias("j"), F.lit(0).alias("side")))
         spread = open_.select("gid", "cls", "comp", "home", F.explode(F.concat(column, row)).alias("p")).select("gid", "p.i", "p.j", "p.side", "cls", "comp", "home")
         dealt = spread.join(classes.select(F.col("cls").alias("c"), "n", "sketch"), F.col("cls") == F.col("c")).select("gid", "i", "j", "side", "cls", "comp", "home", "n", "sketch")
-        return dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(B.streaming(lambda it: near_pairs(it, nearest)), "u long, v long, far long")
+        return dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(B.streaming(lambda it: near_pairs(it, round_ is not None)), "u long, v long, far long")
 
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
         """Components of the old ones and new links, the links as links of old components."""
@@ -398,9 +406,9 @@ def labelled(only: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, bool]:
         up = up.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")).distinct()
         return components(comp.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(up))
 
-    for _ in range(ROUNDS):
+    for round_ in range(ROUNDS):
         B.tidied(only.sparkSession)
-        tried = B.compacted(apart(every, True).groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v")))
+        tried = B.compacted(apart(every, round_).groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v")))
         new = verify(tried)
         found = new.count()
         if found:
@@ -408,7 +416,7 @@ def labelled(only: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, bool]:
         if 2 * found < tried.count():  # what remains are mostly sets that only seem near
             break
     B.tidied(only.sparkSession)
-    every = joined(every, verify(apart(every, False).select("u", "v").distinct()))
+    every = joined(every, verify(apart(every, None).select("u", "v").distinct()))
 
     of = classes.join(every, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     name = of.groupBy("root").agg(F.min("first").alias("component_id"))

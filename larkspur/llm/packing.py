@@ -43,7 +43,7 @@ NODE_BINS = 16_384
 ROUND_LEFT = 0.999
 #: Bytes of text that a worker encodes at once, and pieces that it sends at once.
 BATCH_BYTES = 8 << 20
-PIECES = 4096
+PIECES = 512
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

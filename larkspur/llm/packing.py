@@ -117,8 +117,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
         return work
 
     level, done, before = 0, [], None
-    # Dealt round-robin, for a partition of long pieces would miss the short ones of another.
-    now = B.checkpointed(pieces.repartition(B.width(pieces.sparkSession)).mapInArrow(B.streaming(leaf), schema))
+    # Dealt round-robin, for a partition of long pieces would miss the short ones of another; few pieces to few leaves.
+    now = B.checkpointed(pieces.hint("rebalance").mapInArrow(B.streaming(leaf), schema))
     while True:
         open_ = now.where(F.col("used") <= capacity - NEARLY)
         bins, nodes = open_.agg(F.count("*"), F.countDistinct("node")).first()

@@ -23,7 +23,9 @@ MAYBE_SPACE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 LETTER = np.array([i < 128 and chr(i).isalpha() for i in range(256)])
 MARK = np.array([33 <= i < 127 and not chr(i).isalnum() for i in range(256)])
 #: Chunks that are put together at once.
-STEP = 1 << 19
+STEP = 1 << 20
+#: Chunks that are encoded in one call.
+FRESH = 1 << 14
 
 
 def cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -45,7 +47,7 @@ class ChunkEncoder:
     the old one, and what is found there again moves to the new one.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 150_000, longest: int = 48) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 250_000, longest: int = 48) -> None:
         self.encode, self.most, self.longest = encode, most, longest
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -65,10 +67,12 @@ class ChunkEncoder:
         for i, x in zip(lost, old, strict=True):
             if x is not None:
                 found[i] = self.new[words[i]] = x
-        for i, x in zip(fresh, self.encode([words[i].decode() for i in fresh]) if fresh else [], strict=True):
-            found[i] = x
-            if len(words[i]) <= self.longest:
-                self.new[words[i]] = x
+        for a in range(0, len(fresh), FRESH):
+            some = [words[i] for i in fresh[a : a + FRESH]]
+            made = self.encode([x.decode() for x in some])
+            for i, x in zip(fresh[a : a + FRESH], made, strict=True):
+                found[i] = x
+            self.new.update((w, x) for w, x in zip(some, made, strict=True) if len(w) <= self.longest)
         return found
 
     def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +84,7 @@ class ChunkEncoder:
             data = np.ascontiguousarray(buf[mine[0] : mine[-1]])
             chunks = pa.Array.from_buffers(pa.binary(), len(mine) - 1, [None, pa.py_buffer((mine - mine[0]).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
             ids = self.distinct(chunks.dictionary.to_pylist())
-            length = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
             which = chunks.indices.to_numpy()
             flat = np.frombuffer(b"".join(ids), dtype="<u4")
             parts.append(flat[K.ranges((np.cumsum(length) - length)[which], length[which])])

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +167,14 @@ class Ids:
 
         self.tokenizer = t = Tokenizer.from_str(source)
         self.added = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
-        self.chunks = ChunkEncoder(lambda words: [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)])
+        self.chunks = ChunkEncoder(self.encoded)
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        end = 4 * np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(end[-1]) // 4 if len(end) else 0).tobytes()
+        end = end.tolist()
+        return [flat[a:b] for a, b in zip([0, *end], end, strict=False)]
 
     def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = buf.tobytes()

@@ -132,6 +132,17 @@ def n_blocks(total: int, block_bytes: int = BLOCK_BYTES) -> int:
     return max(LEAST_BLOCKS, math.ceil(total / block_bytes))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with plain numbers for names, which clash with no operator's, and each column's."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def restored(out: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of docs under their own names."""
+    return out.select(*[F.col(names[c]).alias(c) for c in docs.columns])
+
+
 def unwrapped(out: DataFrame, docs: DataFrame, id: str, text: str, added: list[str]) -> DataFrame:
     """The input's columns in their order, then those added; an added one replaces its namesake."""
     cols = []

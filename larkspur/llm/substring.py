@@ -77,12 +77,13 @@ def substring_dedup(docs: DataFrame, window: int = 35, id: str = "doc_id", text:
     return B.unwrapped(out, docs, id, text, OUTPUT)
 
 
-def deduplicated(docs: DataFrame, window: int = 35) -> DataFrame:
-    """docs with the kept words as their text; same columns."""
-    out = substring_dedup(docs, window)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+def deduplicated(docs: DataFrame, window: int = 35, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the kept words as their text; same columns, and n_chars, if it is one, the length of that text."""
+    plain, names = B.numbered(docs)
+    out = substring_dedup(plain, window, names[id], names[text])
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.length(names[text]).cast(docs.schema["n_chars"].dataType))
+    return B.restored(out, docs, names)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

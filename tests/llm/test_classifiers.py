@@ -9,11 +9,14 @@ from collections import Counter
 import corpus_pipeline
 import duckdb
 import numpy as np
+import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from larkspur.llm import queries, rules, toxicity
 from larkspur.llm.labelled import sample
+from test_jaccard import brute
 
 SF = "/root/testdata/sf0.1"
 
@@ -166,17 +169,78 @@ def test_substring_sql(spark):
     assert got == sorted(c.execute(queries.ORACLE["op1_substring_dedup"]).fetchall())
 
 
+def plain_toxicity(model, text):
+    known = dict(zip(model.tokens.tolist(), model.scores.tolist(), strict=True))
+    h, _ = toxicity.tokens(pa.array([text or ""]))
+    best = here = 0.0
+    for column in h.T.tolist():
+        here = max(0.0, here + max((known.get(k, 0.0) for k in column), key=abs) - model.drift)
+        best = max(best, here)
+    return 1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * min(40.0, max(-20.0, model.lam * best - math.log(h.shape[1] + 1))))))
+
+
+def plain_quality(model, text):
+    s = plain_statistics(text or "")
+    return 1 / (1 + math.exp(-model.intercept - sum(w for q, w in model.rules if all(s[j] <= t if low else s[j] > t for j, low, t in q))))
+
+
+def plain_stages(toxic, good, rows):
+    """What each of the first four stages keeps of rows (id, text) with distinct ids, in plain Python."""
+    now = [(i, t) for i, t in rows if plain_toxicity(toxic, t) < 0.5]
+    yield now
+    now = [(i, t) for i, t in now if plain_quality(good, t) >= 0.7]
+    yield now
+    kept = {i for i, n, c in brute(now) if not n or c == i}
+    now = [(i, t) for i, t in now if i in kept]
+    yield now
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in now]
+    seen = Counter(tuple(w[k : k + 35]) for w in split for k in range(len(w) - 34))
+    out = []
+    for (i, _), w in zip(now, split, strict=True):
+        gone = {x for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for x in range(k, k + 35)}
+        out.append((i, " ".join(x for k, x in enumerate(w) if k not in gone)))
+    yield out
+
+
 def test_pipeline(spark, tmp_path):
+    """Each stage's rows, and the packing of the last, against plain Python."""
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = plain_stages(toxicity.trained(spark, sf), rules.trained(spark, sf), rows)
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         out = stage(spark, docs, sf)
         assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
         out.write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
-        now = {r.doc_id for r in docs.select("doc_id").collect()}
-        assert now <= ids and len(now) > 0.7 * len(ids) and len(now) == docs.count()
-        ids = now
-    rows = corpus_pipeline.run(spark, sf).collect()
-    assert {r.doc_id for r in rows} == ids
+        last = sorted(next(want))
+        assert sorted((r.doc_id, r.text) for r in docs.collect()) == last, name
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    packed = corpus_pipeline.run(spark, sf).collect()
+    ids = {i: t.encode(x or "", add_special_tokens=False).ids + [0] for i, x in last}
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packed) == sorted(
+        (i, a, b - a, zlib.crc32(np.array(x[a:b], dtype="<u4").tobytes())) for i, x in ids.items() for a, b in zip([0, *range((len(x) - 1) % 2048 + 1, len(x), 2048)], [*range((len(x) - 1) % 2048 + 1, len(x), 2048), len(x)], strict=True)
+    )
+    used = Counter()
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used[r.sequence_id]
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048 and len(used) <= sum(used.values()) / 2048 * 1.01 + 1
+
+
+def test_pipeline_odd_rows(spark):
+    """Nulls, empty texts, repeated rows and ids, and columns of the operators' own names, in every stage."""
+    sf = "/root/testdata/sf0.001"
+    some = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 400").orderBy("doc_id").limit(6).collect()]
+    rows = [(1, some[0]), (1, some[1]), (1, some[1]), (None, some[2]), (None, None), (2, ""), (2, None), (3, some[3] + " " + "word " * 20_000), (4, some[4])]
+    schema = "doc_id long, text string, score string, passages string, q_bytes string, n_shingles string, component_id string, spans string, n_words string, k string, cls string, id string, rest string, block string"
+    docs = spark.createDataFrame([(i, t, *[f"own {c}" for c in range(12)]) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert all(tuple(r)[2:] == tuple(f"own {c}" for c in range(12)) for r in kept), name
+        assert {(r.doc_id, r.text) for r in kept} <= {(r.doc_id, r.text) for r in docs.collect()} or name == "substring dedup"
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.STAGES[2][1](spark, docs, sf).collect()) == [0, 0, 1, 1, 2, 2, 3, 4]
+    assert corpus_pipeline.STAGES[4][1](spark, docs, sf).count() > len(rows) and corpus_pipeline.STAGES[4][1](spark, docs.limit(0), sf).count() == 0

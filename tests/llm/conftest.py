@@ -8,7 +8,7 @@ def spark(tmp_path_factory):
 
     at = tmp_path_factory.mktemp("spark")
     s = (
-        SparkSession.builder.master("local[4]").appName("llm-tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[4]").appName("llm-tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(at / "wh")).config("spark.checkpoint.dir", str(at / "cp")).config("spark.driver.memory", "6g").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

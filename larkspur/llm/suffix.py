@@ -47,8 +47,8 @@ REMOVED = "block int, ords binary, starts binary, lens binary"
 OUTPUT = ["n_bytes", "n_removed", "spans"]
 
 
-def merge_scan(level: np.ndarray, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One pass over two sorted arrays of distinct strings: which of the batch are in the level, and both merged.
+def merge_scan(level: np.ndarray, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pass over two sorted arrays of distinct strings: which of the batch are in the level, both merged, and where each came from.
 
     The stable sort of two runs is their merge, in linear time.
     """
@@ -59,16 +59,18 @@ def merge_scan(level: np.ndarray, batch: np.ndarray) -> tuple[np.ndarray, np.nda
     same[1:] = ranked[1:] == ranked[:-1]
     known = np.zeros(len(batch), dtype=bool)
     known[order[same] - len(level)] = True  # the level's string comes first of two equal ones
-    return known, ranked[~same]
+    return known, ranked[~same], order[~same]
 
 
 class IndexFamily:
-    """Levels, each a suffix array cut off at one length with its keys inline; ``add`` says which of a batch are known."""
+    """Levels, each a suffix array cut off at one length: its strings in order, and their places in some buffer; ``add`` says which of a batch are known."""
 
-    def __init__(self, levels: list[np.ndarray] | None = None) -> None:
+    def __init__(self, levels: list[np.ndarray] | None = None, places: list[np.ndarray] | None = None) -> None:
         self.levels: list[np.ndarray] = levels or []
+        self.places: list[np.ndarray] = places or [np.arange(len(x)) for x in self.levels]
+        self.settle()
 
-    def add(self, strings: np.ndarray) -> np.ndarray:
+    def add(self, strings: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
         """For each string, in order of occurrence, whether it has come before."""
         order = np.argsort(strings, kind="stable")
         batch = strings[order]
@@ -77,18 +79,25 @@ class IndexFamily:
         known = ~first
         fresh = np.flatnonzero(first)
         for level in self.levels:
-            hit, _ = merge_scan(level, batch[fresh])
+            hit = merge_scan(level, batch[fresh])[0]
             known[fresh[hit]] = True
             fresh = fresh[~hit]
         if len(fresh):
             self.levels.append(batch[fresh])
-        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            new = self.levels.pop()
-            self.levels.append(merge_scan(self.levels.pop(), new)[1])
+            self.places.append(order[fresh] if places is None else places[order[fresh]])
+        self.settle()
         out = np.empty(len(strings), dtype=bool)
         out[order] = known
         return out
 
+    def settle(self) -> None:
+        """Merges levels, from the smallest up, until each is at least twice the next."""
+        for i in range(len(self.levels) - 1, 0, -1):
+            if len(self.levels[i - 1]) < 2 * len(self.levels[i]):
+                _, self.levels[i - 1], order = merge_scan(self.levels[i - 1], self.levels[i])
+                self.places[i - 1] = np.concatenate([self.places[i - 1], self.places[i]])[order]
+                del self.levels[i], self.places[i]
+
 
 def first_of_equal(key: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Which byte ranges are the first of those equal to them; a hash finds the pairs, their bytes decide."""
@@ -156,10 +165,13 @@ def segment_table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def candidates(t: pa.Table, back: pa.Table, match: int, gram: int, buckets: int) -> pa.Table:
-    """A block's segments whose minimizer occurs elsewhere, the earliest of equal ones; the others go at once."""
-    again = B.gathered(back)
-    if not len(again):
+def bucket_of(minimizer: np.ndarray, buckets: int) -> np.ndarray:
+    return (K.mix(minimizer ^ np.uint64(K.WORD_BASE)) % np.uint64(buckets)).astype(np.int64)
+
+
+def candidates(t: pa.Table, again: np.ndarray | None, match: int, gram: int, buckets: int) -> pa.Table:
+    """A block's segments whose minimizer is in ``again`` (None: all), the earliest of equal ones; the others go at once."""
+    if again is not None and not len(again):
         return segment_table([])
     t = B.in_order(t)
     block = t["block"][0].as_py()
@@ -167,8 +179,10 @@ def candidates(t: pa.Table, back: pa.Table, match: int, gram: int, buckets: int)
     buf, offsets = K.text_buffer(t["text"])
     parts = []
     for s, n, f, c in segments(buf, offsets, match, gram):
-        keep = K.member(f, again)
+        keep = np.ones(len(f), dtype=bool) if again is None else K.member(f, again)
         parts.append((s[keep], n[keep], f[keep], c[keep]))
+    if not parts:
+        return segment_table([])
     s, n, f, c = (np.concatenate([p[i] for p in parts]) for i in range(4))
     doc = np.searchsorted(offsets, s, side="right") - 1
     own = first_of_equal(K.mix(c + f), buf, s, n + match - 1)
@@ -178,15 +192,32 @@ def candidates(t: pa.Table, back: pa.Table, match: int, gram: int, buckets: int)
     if len(gone):
         rows.append((block % buckets, block, True, None, u32(doc[gone]), u32(s[gone] - offsets[doc[gone]]), u32(n[gone]), None))
     mine = np.flatnonzero(own)
-    for b, p in K.split_by((K.mix(f[mine] ^ np.uint64(K.WORD_BASE)) % np.uint64(buckets)).astype(np.int64)):
+    for b, p in K.split_by(bucket_of(f[mine], buckets)):
         p = mine[p]
         data = buf[K.ranges(s[p], n[p] + match - 1)].tobytes()
         rows.append((b, block, False, ids[doc[p]].tobytes(), u32(doc[p]), u32(s[p] - offsets[doc[p]]), u32(n[p]), data))
     return segment_table(rows)
 
 
+def strings_at(data: np.ndarray, at: np.ndarray, match: int) -> np.ndarray:
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, match)[at]).view(f"V{match}").view(f"S{match}").ravel()
+
+
 def resolved(t: pa.Table, match: int) -> pa.Table:
     """One bucket: which windows of its segments occur earlier, as runs told to the segments' blocks."""
+    out = resolve(t, match)[0]
+    return pa.table([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3))], names=["block", "ords", "starts", "lens"])
+
+
+def resolve(t: pa.Table, match: int, family: IndexFamily | None = None, base: int = 0) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """The runs of one bucket, and its segments' bytes and numbers of windows.
+
+    With a family that stays, all windows enter it, with their places in those bytes plus ``base``;
+    without one, only those whose hash occurs again.
+    """
+    stays = family is not None
+    family = family or IndexFamily()
+    data, lens = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64)
     rows = t.to_pylist()
     out = [(r["block"], r["ords"], r["starts"], r["lens"]) for r in rows if r["gone"]]
     rows = [r for r in rows if not r["gone"]]
@@ -197,6 +228,7 @@ def resolved(t: pa.Table, match: int) -> pa.Table:
         block = np.repeat([r["block"] for r in rows], [len(r["lens"]) // 4 for r in rows])
         data = np.concatenate([np.frombuffer(r["data"], dtype=np.uint8) for r in rows])
         at = np.concatenate([[0], np.cumsum(lens + match - 1)[:-1]])
+        stored = lens
         order = np.lexsort((starts, ords, block, ids))
         ords, starts, lens, block, at = (x[order] for x in (ords, starts, lens, block, at))
         sums = K.prefix_sums(data.astype(np.uint64) + np.uint64(1), K.BYTE_BASE)
@@ -204,16 +236,19 @@ def resolved(t: pa.Table, match: int) -> pa.Table:
         own = first_of_equal(content, data, at, lens + match - 1)
         mine = np.flatnonzero(own)
         where = K.ranges(at[mine], lens[mine])
-        h = K.range_hashes(sums, where, where + match, K.BYTE_BASE)
-        ranked = np.sort(h)
-        twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-        maybe = np.flatnonzero(K.member(h, twice))
-        del sums, h, ranked
-        family, view = IndexFamily(), np.lib.stride_tricks.sliding_window_view(data, match)
+        if stays:
+            maybe = np.arange(len(where))
+        else:
+            h = K.range_hashes(sums, where, where + match, K.BYTE_BASE)
+            ranked = np.sort(h)
+            twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+            maybe = np.flatnonzero(K.member(h, twice))
+            del h, ranked
+        del sums
         known = np.zeros(len(where), dtype=bool)
         for i in range(0, len(maybe), BATCH):
             p = maybe[i : i + BATCH]
-            known[p] = family.add(np.ascontiguousarray(view[where[p]]).view(f"V{match}").view(f"S{match}").ravel())
+            known[p] = family.add(strings_at(data, where[p], match), where[p] + base)
         segment = np.repeat(mine, lens[mine])
         offset = where - at[segment]
         p = np.flatnonzero(known)
@@ -229,7 +264,8 @@ def resolved(t: pa.Table, match: int) -> pa.Table:
         sg, from_, run = np.concatenate([sg, others]), np.concatenate([from_, starts[others]]), np.concatenate([run, lens[others]])
         for b, q in K.split_by(block[sg]) if len(sg) else []:
             out.append((b, *(x[q].astype("<u4").tobytes() for x in (ords[sg], from_, run))))
-    return pa.table([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3))], names=["block", "ords", "starts", "lens"])
+        lens = stored
+    return out, data, lens
 
 
 def removed_mask(offsets: np.ndarray, back: pa.Table, match: int) -> np.ndarray:
@@ -247,8 +283,13 @@ def suffix_dedup(docs: DataFrame, match: int = MATCH, id: str = "doc_id", text:
     docs_b = B.blocked(docs, id, text, B.n_blocks(total, block_bytes))
     again = B.repeated_hashes(docs_b, lambda t: minimizers(t, match, gram), max(16, math.ceil(total / 4 / (24 << 20))))
     buckets = max(64, math.ceil(total / SEGMENT_BUCKET_BYTES))
-    parts = docs_b.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(B.releasing_both(lambda t, back: candidates(t, back, match, gram, buckets)), SEGMENTS)
+    parts = docs_b.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(B.releasing_both(lambda t, back: candidates(t, B.gathered(back), match, gram, buckets)), SEGMENTS)
     gone = parts.groupBy("bucket").applyInArrow(B.releasing(lambda t: resolved(t, match)), REMOVED)
+    return without_removed(docs, docs_b, gone, match, id, text)
+
+
+def without_removed(docs: DataFrame, docs_b: DataFrame, gone: DataFrame, match: int, id: str, text: str) -> DataFrame:
+    """The documents of all blocks without the runs told to them."""
 
     def finish(t: pa.Table, back: pa.Table) -> pa.Table:
         t = B.in_order(t)

@@ -123,9 +123,13 @@ def features(c: Column) -> Column:
 
 def soundex_ref(c: Column) -> Column:
     """First letter and three digits; the first letter's own code is ignored and vowels don't part equal codes."""
-    t = F.regexp_replace(F.lower(c), "[^a-z]", "")
-    code = F.regexp_replace(F.translate(F.substring(t, 2, 1 << 20), "bfpvcgjkqsxzdtlmnraeiouhwy", "111122222222334556"), r"([0-9])\1+", "$1")
-    return F.when(t == "", "").otherwise(F.rpad(F.concat(F.upper(F.substring(t, 1, 1)), code), 4, "0"))
+
+    def coded(t: Column) -> Column:
+        code = F.regexp_replace(F.translate(F.substring(t, 2, 1 << 20), "bfpvcgjkqsxzdtlmnraeiouhwy", "111122222222334556"), r"([0-9])\1+", "$1")
+        return F.when(t == "", "").otherwise(F.rpad(F.concat(F.upper(F.substring(t, 1, 1)), code), 4, "0"))
+
+    # As a variable of the transform the letters are made once, not once for each use.
+    return F.get(F.transform(F.array(F.regexp_replace(F.lower(c), "[^a-z]", "")), coded), F.lit(0))
 
 
 def plain_match_norm(text: str) -> str:

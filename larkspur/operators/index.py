@@ -7,11 +7,25 @@ from pyspark.sql import functions as F
 
 from larkspur.errors import ServiceError
 from larkspur.functions import text as X
+from larkspur.settings import SETTINGS
+
+
+def terms_of(docs: DataFrame, words: Column, *keep: str) -> DataFrame:
+    """The columns to keep and a row for each word (term), the words being made once a row.
+
+    The outer explode keeps the optimizer from inferring a filter on the words, which would make them a second time below a shuffle.
+    """
+    return docs.select(*keep, words.alias("words_")).select(*keep, F.explode_outer("words_").alias("term")).where("term IS NOT NULL")
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has so few rows of a word or number that this is safe; else as it is."""
+    return F.broadcast(df) if df.count() <= SETTINGS.broadcast_rows else df
 
 
 def postings(docs: DataFrame, id: str, text: Column) -> DataFrame:
     """id, term, tf. Terms are exploded and counted with map-side partial sums; nothing is gathered per document."""
-    return docs.select(id, F.explode(X.tokens(text)).alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf"))
+    return terms_of(docs, X.tokens(text), id).groupBy(id, "term").agg(F.count("*").alias("tf"))
 
 
 def lengths(docs: DataFrame, id: str, text: Column) -> DataFrame:
@@ -32,7 +46,7 @@ def average_length(lens: DataFrame) -> DataFrame:
 def vocabulary(docs: DataFrame, *texts: Column) -> DataFrame:
     out = None
     for t in texts:
-        part = docs.select(F.explode(X.tokens(t)).alias("term"))
+        part = terms_of(docs, X.tokens(t))
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 

@@ -37,12 +37,12 @@ def cosine_of(features: DataFrame, id: str, queries: DataFrame) -> DataFrame:
 def phonetic(docs: DataFrame, id: str, text: str, terms: DataFrame) -> DataFrame:
     """query_id, id, phonetic: the share of query terms (repeated ones too) whose code the document has.
 
-    Codes are made once for each distinct term; only terms with a code that is asked for go on.
+    Codes are made once for each distinct term of a document; only those that are asked for are shuffled.
     """
     asked = terms.withColumn("code", X.soundex_ref(F.col("term")))
-    coded = docs.select(F.explode(X.tokens(F.col(text))).alias("term")).distinct().withColumn("code", X.soundex_ref(F.col("term"))).where("code <> ''")
-    near = coded.join(asked.select("code").distinct(), "code", "left_semi")
-    codes = docs.select(id, F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("term")).join(near, "term").select(id, "code").distinct()
+    wanted = I.few(asked.where("code <> ''").select("code").distinct())
+    # The distinct codes of a document, as an array, are made before they are rows: once, not for each use in the join.
+    codes = I.terms_of(docs, F.array_distinct(F.transform(F.array_distinct(X.tokens(F.col(text))), X.soundex_ref)), id).withColumnRenamed("term", "code").join(wanted, "code", "left_semi").distinct()
     n = terms.groupBy("query_id").agg(F.count("*").alias("n"))
     hits = asked.where("code <> ''").join(codes, "code").groupBy("query_id", id).agg(F.count("*").alias("hits"))
     return hits.join(n, "query_id").select("query_id", id, F.round(F.col("hits") / F.greatest("n", F.lit(1)), 4).alias("phonetic"))
@@ -50,8 +50,8 @@ def phonetic(docs: DataFrame, id: str, text: str, terms: DataFrame) -> DataFrame
 
 def matched(docs: DataFrame, id: str, text: str, terms: DataFrame) -> DataFrame:
     wanted = terms.distinct()
-    each = docs.select(id, F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("term"))
-    return each.join(wanted, "term").groupBy("query_id", id).agg(F.count("*").alias("matched"), F.array_sort(F.collect_list("term")).alias("matched_terms"))
+    each = I.terms_of(docs, F.array_distinct(X.tokens(F.col(text))), id)
+    return each.join(I.few(wanted), "term").groupBy("query_id", id).agg(F.count("*").alias("matched"), F.array_sort(F.collect_list("term")).alias("matched_terms"))
 
 
 def phrase() -> "F.Column":

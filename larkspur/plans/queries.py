@@ -81,7 +81,7 @@ def text_char_trigrams(spark, sf):
 
 @query(f"WITH t AS (SELECT DISTINCT unnest({D.tokens('text')}) AS term FROM documents) SELECT term, {D.soundex('term')} AS code FROM t")
 def text_soundex(spark, sf):
-    terms = texts(spark, sf).select(F.explode(X.tokens(F.col("text"))).alias("term")).distinct()
+    terms = index.terms_of(texts(spark, sf), X.tokens(F.col("text"))).distinct()
     return terms.select("term", X.soundex_ref(F.col("term")).alias("code"))
 
 

@@ -24,6 +24,8 @@ class Settings:
     api_prefix: str = "/api/v1"
     api_key_header: str = "X-API-Key"
     mean_of_latest: int = 500
+    #: Rows of a word or number up to which a table of counted size is broadcast (some 20 MB).
+    broadcast_rows: int = 1 << 18
 
 
 SETTINGS = Settings()

@@ -21,16 +21,30 @@ SCORES = ["lexical", "title_bm25", "semantic", "phonetic", "fuzzy", "phrase"]
 
 
 def cosine(docs: DataFrame, id: str, text: str, queries: DataFrame, query: str) -> DataFrame:
-    """query_id, id, semantic: cosine of feature counts; only pairs that share a feature exist."""
-    d = docs.select(id, F.explode(X.features(F.col(text))).alias("f")).groupBy(id, "f").agg(F.count("*").alias("w"))
-    dn = d.groupBy(id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return cosine_of(d.join(dn, id), id, queries.select("query_id", F.col(query).alias("text"))).select("query_id", id, F.round("semantic", 4).alias("semantic"))
+    """query_id, id, semantic: cosine of feature counts; only pairs that share a feature exist.
+
+    Texts are dealt by id once; counts and norms are made where they lie, so nothing that grows with the documents is joined or broadcast.
+    """
+    dealt = docs.where(F.col(id).isNotNull()).select(id, text).repartition(id)
+    d = I.terms_of(dealt, X.features(F.col(text)), id).groupBy(id, F.col("term").alias("f")).agg(F.count("*").alias("w"))
+    d = d.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id))))
+    q = query_features(queries.select("query_id", F.col(query).alias("text")))
+    few = I.few(q)
+    return dots(d, id, few if few is not q else q.hint("merge")).select("query_id", id, F.round("semantic", 4).alias("semantic"))
+
+
+def query_features(queries: DataFrame) -> DataFrame:
+    """query_id, f, v (its count), qn (the query's norm)."""
+    q = queries.select("query_id", F.explode(X.features(F.col("text"))).alias("f")).groupBy("query_id", "f").agg(F.count("*").alias("v"))
+    return q.withColumn("qn", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("query_id"))))
 
 
 def cosine_of(features: DataFrame, id: str, queries: DataFrame) -> DataFrame:
     """The same from stored features (id, f, w, norm)."""
-    q = queries.select("query_id", F.explode(X.features(F.col("text"))).alias("f")).groupBy("query_id", "f").agg(F.count("*").alias("v"))
-    q = q.withColumn("qn", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("query_id"))))
+    return dots(features, id, query_features(queries))
+
+
+def dots(features: DataFrame, id: str, q: DataFrame) -> DataFrame:
     return features.join(q, "f").groupBy("query_id", id).agg((F.sum(F.col("w") * F.col("v")) / F.first("norm") / F.first("qn")).alias("semantic"))
 
 

@@ -108,3 +108,21 @@ def test_batch_uses_all_tokens(spark, tmp_path):
     hits = [(tags[i], r) for _, i, _, r in want if r <= 3]
     got = {r.tag: (r.hits, r.top1) for r in QUERIES["eval_topk_by_tag"](spark, str(tmp_path)).collect()}
     assert got == {t: (sum(t == u for u, _ in hits), sum(t == u and r == 1 for u, r in hits)) for t in {t for t, _ in hits}}
+
+
+def test_cosine_joins_nothing_that_grows(spark):
+    """Only the query's features are joined, however small the documents seem to the planner; ids that are null or repeated are as in SQL."""
+    docs = spark.createDataFrame([(1, "small red bolt"), (2, "red paint"), (2, "small tin"), (None, "small red bolt"), (3, None), (4, "zzz")], "id int, name string")
+    asked = spark.createDataFrame([(0, "small red bolt"), (1, "tin")], "query_id int, text string")
+    got = engine.cosine(spark.createDataFrame(docs.collect(), docs.schema).coalesce(1), "id", "name", asked, "text")
+    values = spark.sql("SELECT * FROM VALUES (1, 'small red bolt'), (2, 'red paint') AS t(id, name)")  # a size that the planner knows
+    plan = engine.cosine(values, "id", "name", asked, "text")._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.split("\n") if "Join " in x]) == 1
+    have = {(r.query_id, r.id): r.semantic for r in got.collect()}
+    assert set(have) == {(0, 1), (0, 2), (1, 2)} and have[0, 1] == 1.0
+    counts = {}
+    for name in ("red paint", "small tin"):
+        bare = name.replace(" ", "")
+        for f in [*name.split(), *(bare[i : i + 3] for i in range(len(bare) - 2))]:
+            counts[f] = counts.get(f, 0) + 1
+    assert have[1, 2] == round(counts["tin"] * 2 / math.sqrt(sum(x * x for x in counts.values())) / 2, 4)

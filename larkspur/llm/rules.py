@@ -103,14 +103,17 @@ class RuleModel:
     rules: list[tuple[Rule, float]]
 
     def column(self) -> Column:
-        """The score as a Spark expression over the statistics."""
-        total = F.lit(self.intercept)
+        """The score as a Spark expression over the statistics, its terms added in pairs: one chain of hundreds of rules overflows the planner's stack."""
+        terms = [F.lit(self.intercept)]
         for rule, weight in self.rules:
             holds = F.lit(True)
             for j, at_most, t in rule:
                 c = F.col(STATISTICS[j])
                 holds = holds & ((c <= t) if at_most else (c > t))
-            total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
+            terms.append(F.when(holds, F.lit(weight)).otherwise(F.lit(0.0)))
+        while len(terms) > 1:
+            terms = [a + b for a, b in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) - len(terms) % 2 :]
+        total = terms[0]
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 

@@ -25,6 +25,17 @@ def labelled(spark, sf, label):
     return {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
 
 
+def test_as_many_rules_as_there_can_be(spark):
+    """A model of all 14 rules of each of the 40 trees scores, and as numpy adds them up."""
+    r = np.random.default_rng(5)
+    x = r.random((50, len(rules.STATISTICS)))
+    some = [tuple((int(j), bool(r.integers(2)), float(r.random())) for j in r.integers(len(rules.STATISTICS), size=1 + k % 3)) for k in range(560)]
+    m = rules.RuleModel(0.1, [(q, float(w)) for q, w in zip(some, r.normal(size=560) / 10, strict=True)])
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x], rules.STATISTICS)
+    want = 1 / (1 + np.exp(-(m.intercept + sum(w * rules.holds(q, x) for q, w in m.rules))))
+    assert np.allclose([s.score for s in df.select(m.column().alias("score")).collect()], want)
+
+
 @pytest.mark.parametrize("name,label,least", [("op6_toxicity", "toxic", 0.97), ("op9_quality", "quality", 0.98)])
 def test_held_out(spark, name, label, least):
     y = labelled(spark, SF, label)
